@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, line_dedup, oracles
+from . import decontam, fingerprints, line_dedup, neardup, oracles
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
     return out.select(
@@ -33,5 +37,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_decontamination, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_decontamination, op9_near_duplicates, op10_fingerprints)}
 ORACLES = oracles.ORACLES
