@@ -44,6 +44,17 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+BITS = "array_to_string([lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0') FOR c IN string_split({}, '')], '')"
+OP8 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+b AS (SELECT *, {BITS.format("sha1(html)")} AS bits FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST('0b' || substr(bits, 5 * i + 1, 5) AS INTEGER), 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM b
+"""
+
 OP9 = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -61,4 +72,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.c, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp c ON c.a = d.doc_id
 """
 
-ORACLES = {"op9_near_duplicates": OP9, "op4_line_dedup": OP4, "op5_decontamination": OP5}
+ORACLES = {"op8_warc": OP8, "op9_near_duplicates": OP9, "op4_line_dedup": OP4, "op5_decontamination": OP5}

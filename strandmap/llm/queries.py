@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, line_dedup, neardup, oracles
+from . import decontam, fingerprints, line_dedup, neardup, oracles, token_shards, warc
 from .common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.read_shards(token_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -20,6 +30,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,5 +52,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_decontamination, op9_near_duplicates, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op3_token_shards, op4_line_dedup, op5_decontamination, op8_warc, op9_near_duplicates, op10_fingerprints)}
 ORACLES = oracles.ORACLES
