@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, line_dedup, neardup, oracles, token_shards, warc
+from . import decontam, fingerprints, langid, line_dedup, neardup, oracles, quality, token_shards, warc
 from .common import table
 
 
@@ -30,6 +30,22 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def remainder(n: int, of: str = "doc_id"):
+    return F.crc32(F.col(of).cast("string").cast("binary")) % n
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder(4) == 2
+    out = langid.identify(docs, langid.fit(docs, held_out=held))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder(5) == 0
+    out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), held_out=held))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -52,5 +68,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_token_shards, op4_line_dedup, op5_decontamination, op8_warc, op9_near_duplicates, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op3_token_shards, op4_line_dedup, op5_decontamination, op6_language, op7_quality, op8_warc, op9_near_duplicates, op10_fingerprints)}
 ORACLES = oracles.ORACLES

@@ -7,6 +7,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from .mphf import PerfectHash, fingerprint
 
 #: How a byte-level BPE of this kind cuts a text before merging; fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-END, NULL_KEY, CACHED, VERSION = 0, -(2**63), 300_000, 1
+END, NULL_KEY, CACHED, VERSION = 0, -(2**63), 1_000_000, 1
 
 
 class Encoder:
@@ -45,43 +46,35 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.total = 0
+        """Forgets all pieces but the end mark, which is piece 0 and stands for END."""
+        self.known: dict[str | None, int] = {None: 0}
+        self.flat, self.start, self.size = np.array([END], self.dtype), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def learn(self, new: list[str]) -> None:
         got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        n = len(self.known)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
-        self.flat.append(np.fromiter((i for g in got for i in g), np.int64, int(size.sum())))
-        self.start.append(self.total + np.concatenate([[0], np.cumsum(size)[:-1]]))
-        self.size.append(size)
-        self.total += int(size.sum())
-        for parts in (self.flat, self.start, self.size):
-            parts[:] = [np.concatenate(parts)]
+        self.known.update(zip(new, count(len(self.known))))
+        flat = np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum()))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END after it, and the number of ids of each."""
         if not self.by_piece:
             got = [[*e.ids, END] for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.fromiter((i for g in got for i in g), self.dtype), np.fromiter(map(len, got), np.int64, len(got))
-        pieces = [self.cut.findall(t) for t in texts]
-        new = list(set().union(*pieces) - self.known.keys())
-        if len(self.known) + len(new) > CACHED and self.known:
+            return np.fromiter(chain.from_iterable(got), self.dtype), np.fromiter(map(len, got), np.int64, len(got))
+        pieces = [[*self.cut.findall(t), None] for t in texts]
+        new = set().union(*pieces)
+        if len(self.known) + len(new) > CACHED:
             self.clear()
-            new = list(set().union(*pieces))
-        if new:
+        if new := list(new - self.known.keys()):
             self.learn(new)
-        if not self.known:
-            return np.full(len(texts), END, self.dtype), np.ones(len(texts), np.int64)
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.fromiter((k for p in pieces for k in map(self.known.__getitem__, p)), np.int64, int(counts.sum()))
-        size, start = self.size[0][at], self.start[0][at]
-        before = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[0][np.arange(before[-1]) + np.repeat(start - before[:-1], size)]
-        ends = before[np.cumsum(counts)]
-        return np.insert(ids, ends, END).astype(self.dtype), np.diff(ends, prepend=0) + 1
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        size = self.size[at]
+        before = np.cumsum(size) - size
+        ids = self.flat[np.arange(int(size.sum())) + np.repeat(self.start[at] - before, size)]
+        return ids, np.add.reduceat(size, np.cumsum(counts) - counts)
 
 
 @lru_cache(maxsize=2)
@@ -157,8 +150,8 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         with files.committed(f"{path}.ids") as f:
             while batch is not None:
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                for i in range(0, len(texts), 64):
-                    ids, n = enc(texts[i : i + 64])
+                for i in range(0, len(texts), 128):
+                    ids, n = enc(texts[i : i + 128])
                     f.write(ids.tobytes())
                     sizes.append(n)
                 keys.append(batch.column(0).to_numpy(zero_copy_only=False))
