@@ -17,7 +17,9 @@ from .graph import components
 
 COORDS, PERCENT, SHINGLE, MISS = 64, 85, 5, 1e-6
 #: Rounds of comparing each text with one hub at most, before what is left is compared pair by pair.
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
+#: Nodes of postings of DENSE nodes or more are compared in blocks of about BLOCK, COLUMNS shingles at a time.
+DENSE, BLOCK, COLUMNS = 256, 256, 8192
 #: Members of a hub that one run of rows holds.
 RUN = 512
 
@@ -88,6 +90,49 @@ def _comparer(percent: int, size: int):
     return compare
 
 
+def _block_comparer(percent: int, size: int):
+    """Two blocks of a dense group at a time: yields a spanning forest of the links between them (within, if one)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+        data, offs = tk.buffers(table.column("text").combine_chunks())
+        sets = [s for _, _, part, part_offs in tk.chunks(data, offs) for s in tk.shingle_sets(part, part_offs, size)]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        n = np.array([len(s) for s in sets])
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        _, col, held = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.cumsum(held > 1) - 1  # a shingle of one node is in no intersection
+        keep = held[col] > 1
+        row, col = of[keep], rank[col[keep]]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(col.max()) + 1 if len(col) else 0, COLUMNS):
+            here = (col >= lo) & (col < lo + COLUMNS)
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[row[here], col[here] - lo] = 1
+            both += m[left] @ m[right].T
+        linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        root = list(range(len(sets)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for i, j in zip(*(k.tolist() for k in np.nonzero(linked)), strict=True):
+            i, j = int(left[i]), int(right[j])
+            a, b = find(i), find(j)
+            if a != b:
+                root[a] = b
+                links.append((nodes[i], nodes[j]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return compare
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, coords: int = COORDS, size: int = SHINGLE, miss: float = MISS) -> DataFrame:
     r"""Groups of near copies: one row per input row with ``id_col`` (long), n_shingles, component_id and kept.
 
@@ -102,7 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in common meet in a prefix posting (t: a pair at the threshold falls short once in 1/miss). Nodes of a
     posting are not paired with each other: every round compares each with one hub, components are contracted, and
     only pairs between different components are left; once these are few (or after HUB_ROUNDS) all of them are
-    compared. Links are decided on the full shingle sets of the texts.
+    compared: pair by pair, but for nodes that large postings tie together, of which two blocks at a time are compared
+    by a product of their incidence matrices, which yields links alone. Links are decided on the full shingle sets.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -128,19 +174,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return df.withColumn("label", F.col("node"))
         return df.join(small_or_as_is(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """Pairs (a: hub, b) whose sets are alike enough; each text moves once a pair, the hub's once a run of RUN members."""
+    def text_of_nodes() -> DataFrame:
+        """Texts of the nodes that share a posting: only these can ever be compared."""
         nonlocal texts
         if texts is None:
-            # Only nodes that share a posting can ever be compared.
             ids = postings.select(F.col("node").alias("id")).distinct()
             texts = stored(base.join(small_or_as_is(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
             spent.append(texts)
+        return texts.select(F.col("id").alias("node"), "text")
+
+    def dense_links(post: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links between nodes that large postings tie together, and the group (node, g) of each of these."""
+        ties = post.join(small_or_as_is(large.select("tok")), "tok").select(F.col("node").alias("a"), F.xxhash64(F.lit("tok"), "tok").alias("b"))
+        found = components(ties)
+        group = stored(post.select("node").distinct().join(found.select(F.col("v").alias("node"), F.col("c").alias("g")), "node"), "dense")
+        blocks = group.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = group.join(small_or_as_is(blocks), "g").select("node", "g", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("node", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        dealt = dealt.join(text_of_nodes(), "node")
+        return dealt.groupBy("g", "i", "j").applyInArrow(_block_comparer(percent, size), "a long, b long"), group
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """Pairs (a: hub, b) whose sets are alike enough; each text moves once a pair, the hub's once a run of RUN members."""
         runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
         run = F.pmod(F.xxhash64("b"), F.col("runs")).cast("int")
         members = pairs.join(runs, "a").select(F.col("a").alias("hub"), run.alias("run"), F.col("b").alias("node"))
         own = runs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("a").alias("node"))
-        dealt = members.unionByName(own).join(texts.select(F.col("id").alias("node"), "text"), "node").select("hub", "run", "node", "text")
+        dealt = members.unionByName(own).join(text_of_nodes(), "node").select("hub", "run", "node", "text")
         dealt = dealt.repartition(partitions(spark), "hub", "run").sortWithinPartitions("hub", "run", F.col("node") != F.col("hub"))
         return dealt.mapInArrow(_comparer(percent, size), "a long, b long")
 
@@ -169,14 +230,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not left:
             break
         if r == HUB_ROUNDS or left <= n_postings:
-            whole = post.join(sizes.select("tok"), "tok").join(held, "node")
+            sizes = stored(sizes, "sizes")
+            spent.append(sizes)
+            whole, links, apart = post.join(sizes.select("tok"), "tok").join(held, "node"), None, F.lit(True)
+            large = sizes.filter(F.col("m") >= DENSE)
+            if large.limit(1).count():
+                links, group = dense_links(post, large)
+                spent.append(group)
+                whole = whole.join(small_or_as_is(group), "node", "left")
+                apart = ~F.coalesce(F.col("a.g") == F.col("b.g"), F.lit(False))
             a, b = whole.alias("a"), whole.alias("b")
             first = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.tok")
             enough = F.size(F.array_intersect("a.toks", "b.toks")) >= t
-            pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.node") < F.col("b.node")) & first & enough)
+            pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.node") < F.col("b.node")) & apart & first & enough)
             pairs = stored(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "pairs")
             spent.append(pairs)
-            contract(links_of(pairs))
+            contract(links_of(pairs) if links is None else links_of(pairs).union(links))
             break
         hubs = post.groupBy("tok").agg(F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), F.col("node").alias("a"), F.col("label").alias("la"))).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tok", "hub.a", "hub.la")
         met = post.join(hubs, "tok").filter("label <> la").groupBy("a", F.col("node").alias("b")).count()
