@@ -85,8 +85,8 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
     """Stochastic gradient descent over whole texts; every fifth text is held back for temperature and rejection."""
     langs = sorted({y for _, y in sample})
-    if not langs:
-        raise ValueError("no labelled rows to learn from")
+    if not langs:  # nothing to learn from: one unknown language, in which all that has letters is accepted
+        return Model([UNKNOWN], np.zeros((1 << BITS, 1), np.float32), np.zeros(1, np.float32))
     rng = np.random.default_rng(seed)
     sample = [sample[i] for i in rng.permutation(len(sample))]
     held, used = (sample[::5], [s for i, s in enumerate(sample) if i % 5]) if len(sample) >= 10 else (sample, sample)
@@ -125,7 +125,7 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RAT
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None, sample: int = SAMPLE) -> Model:
     """A model from text and language of at most ``sample`` documents a language, of those not ``held_out``."""
     rows = docs if held_out is None else docs.filter(F.coalesce(~held_out, F.lit(False)))
-    return train(labelled_sample(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "lang", sample))
+    return train(labelled_sample(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "lang", sample)[0])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

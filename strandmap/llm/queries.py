@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, langid, line_dedup, neardup, oracles, quality, token_shards, warc
+from . import decontam, fingerprints, langid, licences, line_dedup, mixing, neardup, oracles, quality, token_shards, warc
 from .common import table
 
 
@@ -15,6 +15,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.by_document(table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_tokens", *[F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(mixing.DOMAINS)], "rate")
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_shards(token_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -68,5 +77,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_token_shards, op4_line_dedup, op5_decontamination, op6_language, op7_quality, op8_warc, op9_near_duplicates, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_licences, op2_mixing, op3_token_shards, op4_line_dedup, op5_decontamination, op6_language, op7_quality, op8_warc, op9_near_duplicates, op10_fingerprints)}
 ORACLES = oracles.ORACLES

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(df: DataFrame, label: str, most: int) -> list[tuple[str, object]]:
+def labelled_sample(df: DataFrame, label: str, most: int) -> tuple[list[tuple[str, object]], dict[object, int]]:
     """At most ``most`` (text, label) rows a label, whole texts, chosen by a hash of the row: the same at every run.
 
-    ``df`` has columns text and ``label``; rows with a null label don't count. Only rows below a hash threshold that
+    Also returns the rows of each label in the whole table. ``df`` has columns text and ``label``; rows with a null label don't count. Only rows below a hash threshold that
     the label's count sets come to the driver, about ``most`` a label. Labels must be few.
     """
     known = df.filter(F.col(label).isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("y"))
@@ -23,7 +23,7 @@ def labelled_sample(df: DataFrame, label: str, most: int) -> list[tuple[str, obj
     for y in sorted(counts, key=str):
         of = sorted({(r["u"], r["text"]) for r in rows if r["y"] == y})
         out += [(t, y) for _, t in of[:most]]
-    return out
+    return out, counts
 
 
 def temperature(logits, y) -> float:
