@@ -7,21 +7,18 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import files
+from . import files, pieces
 from .common import new_path, partitions, small_batches, stored
 from .mphf import PerfectHash, fingerprint
 
-#: How a byte-level BPE of this kind cuts a text before merging; fixed value.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END, NULL_KEY, CACHED, VERSION = 0, -(2**63), 1_000_000, 1
 
 
@@ -29,8 +26,8 @@ class Encoder:
     """Ids of whole texts, from the tokenizers library.
 
     Its byte-level BPE never merges across the pieces that its pre-tokenizer cuts, so each distinct piece is encoded
-    once and kept (at most CACHED pieces); texts are strung together from these. A tokenizer with any other
-    pre-tokenizer or a normalizer encodes whole texts.
+    once and kept (at most CACHED pieces, told apart by 128 bits of hash); texts are strung together from these. A
+    tokenizer with any other pre-tokenizer or a normalizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -42,39 +39,52 @@ class Encoder:
         pre = str(self.tok.pre_tokenizer)
         self.by_piece = self.tok.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cut = regex.compile(PIECES)
         self.clear()
 
     def clear(self) -> None:
-        """Forgets all pieces but the end mark, which is piece 0 and stands for END."""
-        self.known: dict[str | None, int] = {None: 0}
-        self.flat, self.start, self.size = np.array([END], self.dtype), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.known, self.used = pieces.Table(), 0
+        self.flat, self.start, self.size = np.zeros(1 << 16, self.dtype), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str], h: np.ndarray, check: np.ndarray) -> None:
         got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        self.known.update(zip(new, count(len(self.known))))
-        flat = np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum()))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        size = np.fromiter(map(len, got), np.int32, len(got))
+        n, total = self.known.size, int(size.sum())
+        self.flat, self.start, self.size = (a if have + more <= len(a) else np.concatenate([a, np.zeros(max(len(a), more), a.dtype)]) for a, have, more in ((self.flat, self.used, total), (self.start, n, len(new)), (self.size, n, len(new))))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), self.dtype, total)
+        self.start[n : n + len(new)], self.size[n : n + len(new)] = self.used + np.cumsum(size) - size, size
+        self.known.add(h, check)
+        self.used += total
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END after it, and the number of ids of each."""
         if not self.by_piece:
             got = [[*e.ids, END] for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(got), self.dtype), np.fromiter(map(len, got), np.int64, len(got))
-        pieces = [[*self.cut.findall(t), None] for t in texts]
-        new = set().union(*pieces)
-        if len(self.known) + len(new) > CACHED:
-            self.clear()
-        if new := list(new - self.known.keys()):
-            self.learn(new)
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        offs = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        starts = pieces.cut(points, offs)
+        h, check = pieces.hashes(points, starts)
+        at = self.known.find(h, check)
+        if (at < 0).any():
+            new = np.flatnonzero(at < 0)
+            new = new[np.unique(h[new], return_index=True)[1]]
+            if self.known.size + len(new) > CACHED:
+                self.clear()
+                new = np.unique(h, return_index=True)[1]
+            ends = np.append(starts[1:], len(points))
+            self.learn([whole[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], h[new], check[new])
+            at = self.known.find(h, check)
         size = self.size[at]
-        before = np.cumsum(size) - size
-        ids = self.flat[np.arange(int(size.sum())) + np.repeat(self.start[at] - before, size)]
-        return ids, np.add.reduceat(size, np.cumsum(counts) - counts)
+        before = np.cumsum(size, dtype=np.int64) - size
+        total = int(size.sum(dtype=np.int64))
+        of = np.diff(np.searchsorted(starts, offs))  # pieces of each text
+        per = np.add.reduceat(np.append(size, 0), np.minimum(np.cumsum(of) - of, len(size)), dtype=np.int64) * (of > 0)
+        # Each text's END comes after its ids, so every id moves on by the number of texts before its own.
+        place = np.arange(total) + np.repeat(np.arange(len(texts)), per)
+        ids = np.full(total + len(texts), END, self.dtype)
+        ids[place] = self.flat[np.arange(total) + np.repeat(self.start[at] - before, size)]
+        return ids, per + 1
 
 
 @lru_cache(maxsize=2)
