@@ -125,7 +125,7 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RAT
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None, sample: int = SAMPLE) -> Model:
     """A model from text and language of at most ``sample`` documents a language, of those not ``held_out``."""
     rows = docs if held_out is None else docs.filter(F.coalesce(~held_out, F.lit(False)))
-    return train(labelled_sample(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "lang", sample)[0])
+    return train(labelled_sample(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("y")), None, sample)[0])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -109,7 +109,7 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The classifier, from at most ``sample`` labelled documents a domain."""
     marks = labels.select(F.col(id_col).alias("id"), domain_of(F.col("quality"), F.col("toxic")).alias("y")).filter(F.col("y").isNotNull())
-    rows, counts = labelled_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id").select("text", "y"), "y", sample)
+    rows, counts = labelled_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), marks, sample)
     return train(rows, counts=counts)
 
 

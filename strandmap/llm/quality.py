@@ -162,12 +162,13 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 1) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: Column | None = None, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents of each kind, of those not ``held_out``."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).filter(F.col("y").isin(0, 1))
+    """A model from at most ``sample`` labelled documents of each kind, of those not ``held_out``
+    (a condition over the labels' columns)."""
+    marks = labels.filter(F.col(label_col).isin(0, 1))
     if held_out is not None:
         marks = marks.filter(F.coalesce(~held_out, F.lit(False)))
-    return train(labelled_sample(base.join(marks, "doc_id").select("text", "y"), "y", sample)[0])
+    marks = marks.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    return train(labelled_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), marks, sample)[0])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

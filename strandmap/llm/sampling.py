@@ -6,23 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(df: DataFrame, label: str, most: int) -> tuple[list[tuple[str, object]], dict[object, int]]:
+def labelled_sample(docs: DataFrame, marks: DataFrame | None, most: int) -> tuple[list[tuple[str, object]], dict[object, int]]:
     """At most ``most`` (text, label) rows a label, whole texts, chosen by a hash of the row: the same at every run.
 
-    Also returns the rows of each label in the whole table. ``df`` has columns text and ``label``; rows with a null label don't count. Only rows below a hash threshold that
-    the label's count sets come to the driver, about ``most`` a label. Labels must be few.
+    ``docs`` has the columns id and text, and y if ``marks`` (id, y) is None; rows with a null y don't count. Also
+    returns the rows of each label. Only rows below a hash threshold that the label's count sets come to the driver,
+    about ``most`` a label; with ``marks`` these ids are chosen first, from the labels alone, and broadcast, so no
+    text is shuffled. Labels must be few.
     """
-    known = df.filter(F.col(label).isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("y"))
+    known = (docs if marks is None else marks).filter(F.col("y").isNotNull())
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    u = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
+    u = F.shiftrightunsigned(F.xxhash64("text" if marks is None else "id"), 11) / float(1 << 53)
     share = F.lit(0.0)
     for y, n in sorted(counts.items(), key=str):
         share = F.when(F.col("y") == y, F.lit(min(1.0, 1.2 * most / n))).otherwise(share)
-    rows = known.withColumn("u", u).filter(F.col("u") <= share).collect()
+    rows = known.withColumn("u", u).filter(F.col("u") <= share)
+    if marks is not None:
+        rows = docs.join(F.broadcast(rows.select("id", "y", "u")), "id")
+    rows = rows.select("u", F.coalesce("text", F.lit("")).alias("text"), "y").collect()
     out: list[tuple[str, object]] = []
     for y in sorted(counts, key=str):
-        of = sorted({(r["u"], r["text"]) for r in rows if r["y"] == y})
-        out += [(t, y) for _, t in of[:most]]
+        out += [(t, y) for _, t in sorted({(r["u"], r["text"]) for r in rows if r["y"] == y})[:most]]
     return out, counts
 
 
