@@ -70,9 +70,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     base = base.select("id", "text", *[k.alias(f"r{i}") for i, k in enumerate(row_key(F.col("id"), F.col("text")))])
     marked = with_selected(base.withColumn("w", words_of(F.col("text"))), "w", window, gram)
     entry = lambda short, h, p: F.struct(F.lit(short).alias("short"), h.alias("hash"), p.alias("pos"))
+    short_entry = lambda n: lambda h, i: entry(n, h, i)
     total = F.array(entry(-1, F.lit(0).cast("long"), F.size("w")))  # one row that carries the number of words
     parts = [total, F.transform("marks", lambda m: entry(0, m["hash"], m["pos"]))]
-    parts += [F.transform(grams(F.col("w"), n), lambda h, i, n=n: entry(n, h, i)) for n in lengths]
+    parts += [F.transform(grams(F.col("w"), n), short_entry(n)) for n in lengths]
     marked = marked.select("id", "r0", "r1", F.explode(F.concat(*parts)).alias("e")).select("id", "r0", "r1", "e.*")
     hits = marked.join(small_or_as_is(seeds), ["short", "hash"], "left").filter((F.col("short") < 0) | F.col("item").isNotNull())
     hits = stored(hits.select("id", "r0", "r1", "short", "pos", "item", "ipos"), "hits")
