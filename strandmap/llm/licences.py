@@ -102,8 +102,11 @@ OTHERS = [
     "An eclipse was seen by the general public.", "Attribution of the painting is disputed.", "Noncommercial flights were cancelled.", "No rights were reserved for the press.", "This version of the library is old.",
 ]
 UNKNOWN = "unknown"
-#: Words that begin no feature of their own; every feature holds another word.
-PLAIN = set("a an the of and or to in on for with without this that is are be by as at it its any all no not from you may can must shall which under either following provided file files use used out such own c s v".split())
+#: Words of which every feature holds one; a paragraph without any is unknown.
+ANCHORS = set(
+    "affero agpl apache attribution bsd cc cc0 commons confidential copyright copyrights disclaimer domain eclipse gnu gpl isc lgpl license licensed licenses licence licenced mozilla mpl "
+    "noncommercial permission permitted proprietary redistribute redistribution redistributions reserved rights sharealike spdx sublicense unencumbered unlicense warranties warranty".split()
+)
 SUREST, CONFIRM, EPOCHS, NGRAM = 0.6, 0.6, 600, 3
 
 
@@ -112,8 +115,8 @@ def words(text: str) -> list[str]:
 
 
 def ngrams(w: list[str]) -> list[str]:
-    """1- to 3-grams that hold at least one word that isn't plain."""
-    return [" ".join(w[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1) if any(x not in PLAIN for x in w[i : i + n])]
+    """1- to 3-grams that hold an anchor."""
+    return [" ".join(w[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1) if any(x in ANCHORS for x in w[i : i + n])]
 
 
 @dataclass
@@ -141,7 +144,7 @@ def train(templates: dict[str, list[str]] = TEMPLATES, others: list[str] = OTHER
     """
     families = [*sorted(templates), UNKNOWN]
     rng = np.random.default_rng(seed)
-    noise = sorted({w for t in others for w in words(t)} | PLAIN)
+    noise = sorted({w for t in others for w in words(t)} - ANCHORS)
     rows: list[tuple[list[str], int]] = []
     for y, name in enumerate(families):
         for text in templates.get(name, others):
@@ -190,6 +193,15 @@ def _rows(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
+def prefix_tree(some: list[str]) -> str:
+    """A pattern for any of the words that looks at each letter once."""
+    if some == [""]:
+        return ""
+    heads = sorted({w[0] for w in some if w})
+    tails = [c + prefix_tree([w[1:] for w in some if w[:1] == c]) for c in heads]
+    return f"(?:{'|'.join(tails)})" + "?" * ("" in some)
+
+
 def grams_of(w: Column) -> Column:
     """Distinct 1- to 3-grams of an array of words."""
     at = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
@@ -208,8 +220,7 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     """
     model = model or train()
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lead = sorted({w for g in model.features for w in g.split(" ") if w not in PLAIN and not w.isdigit()})
-    anchor = rf"(?<![a-z0-9])(?:{'|'.join(lead)})(?![a-z0-9])"
+    anchor = rf"(?<![a-z0-9]){prefix_tree(sorted(ANCHORS))}(?![a-z0-9])"
     paras = F.filter(F.transform(F.split(ascii_lower(F.col("text")), "\n", -1), lambda p, i: F.struct(i.alias("pos"), p.alias("low"))), lambda s: s["low"].rlike(anchor))
     keyed = base.select("id", "text", *[k.alias(f"r{i}") for i, k in enumerate(row_key(F.col("id"), F.col("text")))]).withColumn("paras", paras).filter(F.size("paras") > 0).dropDuplicates(["r0", "r1"])
     found = keyed.select("id", "r0", "r1", F.split("text", "\n", -1).alias("raw"), F.explode("paras").alias("p"))
