@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key
+from .common import ascii_lower, row_key, stored
 
 #: Common wordings of licence notices by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -225,7 +225,7 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     keyed = base.select("id", "text", *[k.alias(f"r{i}") for i, k in enumerate(row_key(F.col("id"), F.col("text")))]).withColumn("paras", paras).filter(F.size("paras") > 0).dropDuplicates(["r0", "r1"])
     found = keyed.select("id", "r0", "r1", F.split("text", "\n", -1).alias("raw"), F.explode("paras").alias("p"))
     found = found.select("id", "r0", "r1", "p.pos", F.get("raw", F.col("p.pos")).alias("paragraph"), F.regexp_extract_all("p.low", F.lit("([a-z0-9]+)"), F.lit(1)).alias("w"))
-    found = found.withColumn("grams", grams_of(F.col("w"))).drop("w")
+    found = stored(found.withColumn("grams", grams_of(F.col("w"))).drop("w"), "paragraphs")
     weights = _rows(docs, [{"g": g, "w": [round(float(v), 5) for v in model.weights[i]]} for g, i in model.features.items()], "g string, w array<double>")
     scored = found.select("id", "r0", "r1", "pos", F.explode("grams").alias("g")).join(F.broadcast(weights), "g")
     k = len(model.families)
