@@ -21,22 +21,20 @@ ROUNDS, CLOSE, DEPTH = 40, 1e-6, 6
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Symbols that prose doesn't repeat.
 SYMBOLS = "#$%&*!|~^=<>@{}[]\\_+"
-N_SHAPES = 3
+N_SHAPES = 2
 
 
-def shape_features(low: Column, text: Column, words: Column) -> list[Column]:
-    """Share of symbols and of capitals among characters, and of distinct words among words."""
-    n = F.greatest(F.char_length(text), F.lit(1))
-    fewer = lambda drop: (F.char_length(text) - F.char_length(F.translate(text, drop, ""))) / n
-    return [fewer(SYMBOLS), fewer(UPPER), F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))]
+def shape_features(text: Column, words: Column, distinct: Column) -> list[Column]:
+    """Share of symbols among characters, and of distinct words among words."""
+    n = F.char_length(text)
+    return [(n - F.char_length(F.translate(text, SYMBOLS, ""))) / F.greatest(n, F.lit(1)), F.size(distinct) / F.greatest(F.size(words), F.lit(1))]
 
 
 def python_features(text: str) -> tuple[list[str], list[float]]:
     """The same as the columns above, for training."""
     low = text.translate(str.maketrans(UPPER, UPPER.lower()))
     w = [x for x in re.split(BREAKS, low) if x]
-    n = max(1, len(text))
-    return w, [sum(map(text.count, SYMBOLS)) / n, sum(map(text.count, UPPER)) / n, len(set(w)) / max(1, len(w))]
+    return w, [sum(map(text.count, SYMBOLS)) / max(1, len(text)), len(set(w)) / max(1, len(w))]
 
 
 @dataclass
@@ -127,10 +125,10 @@ def posteriors(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     low = ascii_lower(F.col("text"))
     w = F.col("w")
-    base = base.withColumn("w", F.filter(F.split(low, BREAKS, -1), lambda x: x != ""))
-    shapes = [c.alias(f"s{i}") for i, c in enumerate(shape_features(low, F.col("text"), w))]
+    base = base.withColumn("w", F.array_remove(F.split(low, BREAKS, -1), "")).withColumn("u", F.array_distinct("w"))
+    shapes = [c.alias(f"s{i}") for i, c in enumerate(shape_features(F.col("text"), w, F.col("u")))]
     keys = [k.alias(f"r{i}") for i, k in enumerate(row_key(F.col("id"), F.col("text")))]
-    base = base.select("id", *keys, F.size(w).cast("long").alias("n"), *shapes, F.concat(F.array(F.lit("")), F.array_distinct(w)).alias("w"))
+    base = base.select("id", *keys, F.size(w).cast("long").alias("n"), *shapes, F.concat(F.array(F.lit("")), "u").alias("w"))
     k = len(model.domains)
     table = literal_table(docs, [{"word": "", "z": [0.0] * k}, *({"word": x, "z": z} for x, z in model.words.items())], "word string, z array<double>")
     table = table.select("word", *[F.col("z")[j].alias(f"z{j}") for j in range(k)])
