@@ -167,7 +167,7 @@ def read_warc(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, payload: bool
     if lost := ended.limit(1).collect():
         raise ValueError(f"{lost[0]['path']}: the chain of records ends at {lost[0]['last']} of {lost[0]['bytes']} bytes")
     entries = reached.groupBy("path", (F.col("at") - F.pmod(F.col("at"), step)).alias("start")).agg(F.min("at").alias("entry"))
-    todo = stored(pieces.join(entries, ["path", "start"]).select("path", "entry", "end"), "todo")
+    todo = stored(pieces.join(entries, ["path", "start"]).select("path", "entry", "end").filter("entry < end"), "todo")  # a file's end is no record
     drop(pieces, *old)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
