@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import median_rank, order_stats
+from ..runtime import ship
 
 
 def line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -42,6 +43,7 @@ def solved(sums: DataFrame, keys: list[str], n: int) -> DataFrame:
             fit = np.einsum("kij,kj->ki", np.linalg.pinv(m), b)
             yield p[keys].assign(fit=list(fit))
 
+    ship(sums.sparkSession)
     fields = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
     return sums.select(*keys, "a", "b").mapInPandas(solve, f"{fields}, fit array<double>")
 

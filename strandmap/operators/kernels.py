@@ -6,8 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..runtime import ship
+
 
 def fields(df: DataFrame, keys: list[str]) -> str:
+    """Columns of a result that come from ``df``; whoever asks will run Python workers."""
+    ship(df.sparkSession)
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..runtime import ship
+
 
 def decimated(stream: DataFrame, keys: list[str], ts: str, value: str, width: str, late: str) -> DataFrame:
     """Mean and count of tumbling windows; rows later than ``late`` behind the newest are left out."""
@@ -52,5 +54,6 @@ def spikes(stream: DataFrame, key: str, ts: str, value: str, keep: float = 0.7,
         if hits:
             yield pd.DataFrame(hits, columns=[key, ts, value])
 
+    ship(stream.sparkSession)
     kind = stream.schema[key].dataType.simpleString()
     return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, `{ts}` timestamp, `{value}` double", "s double, last double, wait int", "update", GroupStateTimeout.ProcessingTimeTimeout)
