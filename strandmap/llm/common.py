@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of a join is broadcast only if so many rows are counted in it at most.
 BROADCAST_ROWS = 200_000
@@ -53,7 +55,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches for Python workers hold few rows, as a text may be very long."""
+    """Readies a session for Python workers. Arrow batches hold few rows, as a text may be very long."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

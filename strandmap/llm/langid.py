@@ -17,7 +17,7 @@ from .sampling import labelled_sample, temperature
 UNKNOWN = "und"
 #: Subwords of 2 to 4 bytes; hashed to 2 ** BITS rows of DIM.
 ORDERS, BITS, DIM = (2, 3, 4), 15, 16
-SAMPLE, EPOCHS, RATE, REJECTED = 1500, 8, 0.5, 0.001
+SAMPLE, EPOCHS, RATE, REJECTED, MOST = 1500, 8, 0.5, 0.001, 0.35
 #: ASCII other than letters only bounds words.
 LETTER = np.ones(256, bool)
 LETTER[:128] = False
@@ -117,8 +117,9 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RAT
     model.heat = temperature(model.logits(*joined(texts)), y)
     p = model.probabilities(*joined(texts))
     right = np.sort(p[np.arange(len(y)), y][p.argmax(1) == y])
-    # The score below which at most a share REJECTED of held-back texts lies, and never above an even chance.
-    model.least = float(min(0.5, 0.9 * right[int(REJECTED * len(right))])) if len(right) else 0.0
+    # The score below which at most a share REJECTED of held-back texts lies, and never above MOST: texts in two
+    # known languages come to about a half for either and stay.
+    model.least = float(min(MOST, 0.9 * right[int(REJECTED * len(right))])) if len(right) else 0.0
     return model
 
 

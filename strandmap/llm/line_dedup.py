@@ -29,9 +29,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = base.select("id", "r0", "r1", F.posexplode(keys).alias("pos", "key")).filter(F.char_length("key") >= min_chars)
     lines = stored(lines.select("id", "r0", "r1", "pos", *[k.alias(f"h{i}") for i, k in enumerate(row_key(F.col("key")))]), "lines")
     common = lines.groupBy("h0", "h1").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
+    common = stored(common, "common")  # a table, so that adaptive execution can split the join with a very common line
     hit = lines.join(common, ["h0", "h1"]).filter(F.coalesce(F.col("id") != F.col("keeper"), F.lit(True)))
     gone = stored(hit.groupBy("r0", "r1").agg(F.collect_set("pos").alias("gone")), "gone")
-    drop(lines)
+    drop(lines, common)
     out = base.join(gone, ["r0", "r1"], "left").withColumn("lines", F.split("text", "\n", -1))
     n = F.size("lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone")), lambda i: F.get(F.col("lines"), i))

@@ -22,7 +22,8 @@ SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x
 @lru_cache(maxsize=1)
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of every code point, and two random values for each."""
-    kind = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], SIGN) for c in range(sys.maxunicode + 1)], np.int8)
+    kinds = {"L": LETTER, "N": NUMBER}
+    kind = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], SIGN) for c in range(sys.maxunicode + 1)), np.int8)
     kind[[*range(9, 14), 32, *SPACES]] = BLANK
     rng = np.random.default_rng(11)
     return kind, rng.integers(1, 2**64 - 1, len(kind), dtype=np.uint64), rng.integers(1, 2**64 - 1, len(kind), dtype=np.uint64)

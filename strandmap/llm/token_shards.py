@@ -199,5 +199,6 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 ids = pa.array(s.keys, mask=s.keys == NULL_KEY)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(base + s.offsets[:-1], pa.int64()), pa.array(np.diff(s.offsets), pa.int64()), pa.array(crc, pa.int64()), pa.array([shard] * len(here), pa.int32())], [id_col, "start", "n_tokens", "ids_crc32", "shard"])
 
+    small_batches(manifest.sparkSession)
     n = max(1, manifest.count())
     return manifest.select("path", "base", "shard").repartition(n).mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, shard int")
