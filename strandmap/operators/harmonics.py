@@ -125,3 +125,13 @@ def smooth_transfer(ratios: DataFrame, half: int = 25, start: int = 100) -> Data
     at = got.filter(F.col("l") == start).agg(F.max("s").alias("_at"))
     curve = 1 + (F.col("_at") - 1) * F.col("l") * (F.col("l") - 1) / (start * (start - 1))
     return got.crossJoin(F.broadcast(at)).select("l", F.when(F.col("l") < start, curve).otherwise(F.col("s")).alias("ratio"))  # one row
+
+
+def random_coefficients(spark, spectrum_values: np.ndarray, seed: int) -> DataFrame:
+    """A Gaussian draw of coefficients with the given spectrum."""
+    r, rows = np.random.default_rng(seed), []
+    for deg, c in enumerate(spectrum_values):
+        s = float(np.sqrt(c))
+        rows.append((deg, 0, s * float(r.normal()), 0.0))
+        rows += [(deg, m, s * float(r.normal()) / 2**0.5, s * float(r.normal()) / 2**0.5) for m in range(1, deg + 1)]
+    return spark.createDataFrame(rows, "l int, m int, re double, im double")

@@ -424,3 +424,122 @@ def spectra(df: DataFrame, keys: list[str], order: str, value: str, rate: float)
         return out[[*keys, "freq", "power"]]
 
     return df.select(*keys, order, value).groupBy(*keys).applyInPandas(run, f"{fields(df, keys)}, freq double, power double")
+
+
+# Gaps, correlation functions, coupling and likelihoods.
+
+
+def autocovariance(n: int, rate: float, sigma0: float, fknee: float, alpha: float) -> np.ndarray:
+    """Covariance by lag of a stream with spectrum sigma0^2 (1 + (f / fknee)^alpha); the lowest frequency bounds its red part."""
+    m = 4 * n
+    f = np.fft.rfftfreq(m, 1 / rate)
+    f[0] = f[1]
+    return np.fft.irfft(sigma0**2 * (1 + (f / fknee) ** alpha), m)[:n]
+
+
+def constrained_realisation(x: np.ndarray, ok: np.ndarray, cov: np.ndarray, seed: int | None = None) -> np.ndarray:
+    """x with its gaps drawn (or, without a seed, set to the mean) given the good samples and a covariance by lag."""
+    i = np.arange(len(x))
+    c = cov[np.abs(i[:, None] - i[None, :])]
+    good, gap = np.flatnonzero(ok), np.flatnonzero(~ok)
+    mean = x[good].mean()
+    gain = np.linalg.solve(c[np.ix_(good, good)], c[np.ix_(good, gap)]).T
+    out = x.copy()
+    out[gap] = mean + gain @ (x[good] - mean)
+    if seed is not None and len(gap):
+        left = c[np.ix_(gap, gap)] - gain @ c[np.ix_(good, gap)]
+        e, v = np.linalg.eigh(left)
+        out[gap] += v @ (np.sqrt(np.maximum(e, 0)) * np.random.default_rng(seed).normal(size=len(gap)))
+    return out
+
+
+def fit_noise_with_gaps(x: np.ndarray, ok: np.ndarray, rate: float, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Draws the gaps and fits the noise in turn; the mean of (sigma0, alpha, fknee) after the first half, and the last stream."""
+    y = np.where(ok, x, x[ok].mean())
+    got = []
+    for k in range(rounds):
+        s, a, f = fit_noise(y, rate)
+        got.append((s, a, f))
+        y = constrained_realisation(np.where(ok, x, 0.0), ok, autocovariance(len(x), rate, s, f, a), seed + k)
+    return np.mean(got[rounds // 2 :], 0), y
+
+
+def angular_correlation(c: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Sum of (2 l + 1) / 4 pi C_l P_l(cos theta)."""
+    w = (2 * np.arange(len(c)) + 1) / (4 * np.pi) * c
+    return np.polynomial.legendre.legval(np.cos(theta), w)
+
+
+def wigner_square(a: int, b: int, c: int) -> float:
+    """Square of the 3j symbol of three degrees with m = 0."""
+    from math import lgamma
+
+    s = a + b + c
+    if s % 2 or c < abs(a - b) or c > a + b:
+        return 0.0
+    g, f = s // 2, lambda k: lgamma(k + 1)
+    one = f(s - 2 * a) + f(s - 2 * b) + f(s - 2 * c) - f(s + 1)
+    return float(np.exp(one + 2 * (f(g) - f(g - a) - f(g - b) - f(g - c))))
+
+
+def sky_coupling(window: np.ndarray, lmax: int) -> np.ndarray:
+    """How a mask of spectrum ``window`` couples degrees: M = (2 l' + 1) / 4 pi sum (2 l'' + 1) W (3j)^2."""
+    out = np.zeros((lmax + 1, lmax + 1))
+    for i in range(lmax + 1):
+        for j in range(lmax + 1):
+            out[i, j] = (2 * j + 1) / (4 * np.pi) * sum((2 * k + 1) * window[k] * wigner_square(i, j, k) for k in range(abs(i - j), min(i + j, len(window) - 1) + 1))
+    return out
+
+
+def likeliest_powers(data: np.ndarray, noise: np.ndarray, parts: list[np.ndarray], start: np.ndarray, steps: int = 30, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of greatest likelihood of data with covariance noise + sum of powers * parts, and their deviations (Fisher scoring)."""
+    p = np.array(start, float)
+    fisher = np.eye(len(p))
+    for _ in range(steps):
+        inv = np.linalg.inv(noise + sum(a * m for a, m in zip(p, parts, strict=True)))
+        half = [inv @ m for m in parts]
+        y = inv @ data
+        grad = np.array([0.5 * (y @ m @ y) - 0.5 * np.trace(h) for m, h in zip(parts, half, strict=True)])
+        fisher = np.array([[0.5 * np.sum(g * h.T) for h in half] for g in half])
+        step = np.linalg.solve(fisher, grad)
+        p = p + step
+        if np.abs(step).max() <= tol * max(1.0, np.abs(p).max()):
+            break
+    return p, np.sqrt(np.diag(np.linalg.inv(fisher)))
+
+
+def top_hat(m: np.ndarray, wx: int, wy: int) -> np.ndarray:
+    """Mean over a rectangle of (2 wx + 1) x (2 wy + 1) cells around each, with zeros beyond the edges, by Fourier transforms."""
+    shape = (m.shape[0] + 2 * wx, m.shape[1] + 2 * wy)
+    box = np.zeros(shape)
+    box[: 2 * wx + 1, : 2 * wy + 1] = 1
+    full = np.fft.irfft2(np.fft.rfft2(m, shape) * np.fft.rfft2(box), shape)
+    return full[wx : wx + m.shape[0], wy : wy + m.shape[1]] / ((2 * wx + 1) * (2 * wy + 1))
+
+
+def without_sinusoid(t: np.ndarray, x: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
+    """x minus its best sinusoid, and that one's frequency: a scan of frequencies around the strongest mode, each by least squares."""
+    rate = (len(t) - 1) / (t[-1] - t[0])
+    f0 = np.argmax(np.abs(np.fft.rfft(x - x.mean()))[1:]) + 1
+    best = (np.inf, None, 0.0)
+    for f in np.linspace(max(0.8, f0 - 1), f0 + 1, steps) * rate / len(x):
+        b = np.stack([np.ones_like(t), np.sin(2 * np.pi * f * t), np.cos(2 * np.pi * f * t)], 1)
+        left = x - b @ np.linalg.lstsq(b, x, rcond=None)[0]
+        size = float(left @ left)
+        if size < best[0]:
+            best = (size, left, float(f))
+    return best[1], best[2]
+
+
+def is_lissajous(t: np.ndarray, az: np.ndarray, el: np.ndarray, share: float = 0.1) -> bool:
+    """Both axes move, each as one sinusoid to within a share of its deviation."""
+    return all(np.std(x) > 0 and np.std(without_sinusoid(t, x)[0]) < share * np.std(x) for x in (az, el))
+
+
+def contour_ellipse(x: np.ndarray, y: np.ndarray, chi2: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Centre and covariance of the parabola through a chi2 surface."""
+    b = np.stack([np.ones_like(x), x, y, x * x, x * y, y * y], 1)
+    _, bx, by, a, c, d = np.linalg.lstsq(b, chi2, rcond=None)[0]
+    h = np.array([[2 * a, c], [c, 2 * d]])
+    centre = np.linalg.solve(h, [-bx, -by])
+    return float(centre[0]), float(centre[1]), 2 * np.linalg.inv(h)
