@@ -141,34 +141,36 @@ def read_warc(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, payload: bool
     small_batches(spark)
     step = F.lit(chunk_bytes)
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), step.cast("long"))
-    pieces = manifest.select("path", "bytes", F.explode(starts).alias("start")).withColumn("end", F.least(F.col("start") + step, F.col("bytes")))
+    whole = manifest.select(F.xxhash64("path").alias("file"), "path", "bytes")
+    pieces = whole.select("file", "path", F.explode(starts).alias("start"), "bytes").withColumn("end", F.least(F.col("start") + step, F.col("bytes")))
     sums = pieces.agg(F.count("*").alias("n"), F.max("start").alias("far")).head()
     n, rounds = max(1, sums["n"]), max(1, ((sums["far"] or 0) // chunk_bytes + 1).bit_length())
     pieces = stored(pieces.repartition(min(n, 10_000)), "pieces")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, start, end in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for name, path, start, end in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 f = files.Ranged(path)
                 found = candidates(f, start, end)
                 at, to = zip(*found, strict=True) if found else ((), ())
                 f.close()
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(to, pa.int64())], ["path", "at", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(to, pa.int64())], ["file", "at", "to"])
 
-    jump = stored(pieces.select("path", "start", "end").mapInArrow(propose, "path string, at long, to long"), "jumps")
-    reached = manifest.select("path", F.lit(0).cast("long").alias("at"))
+    # Offsets pack into small files, so Spark would think their table small enough to broadcast: merge joins instead.
+    jump = stored(pieces.select("file", "path", "start", "end").mapInArrow(propose, "file long, at long, to long"), "jumps")
+    reached = whole.select("file", F.lit(0).cast("long").alias("at"))
     old = [jump]
     for _ in range(rounds):
-        further = reached.join(jump, ["path", "at"]).select("path", F.col("to").alias("at"))
+        further = reached.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at"))
         reached = stored(reached.unionByName(further).distinct(), "reached")
-        twice = jump.join(jump.select("path", F.col("at").alias("to"), F.col("to").alias("then")), ["path", "to"])
-        jump = stored(twice.select("path", "at", F.col("then").alias("to")), "jumps")
+        twice = jump.join(jump.select("file", F.col("at").alias("to"), F.col("to").alias("then")).hint("merge"), ["file", "to"])
+        jump = stored(twice.select("file", "at", F.col("then").alias("to")), "jumps")
         old += [jump, reached]
-    ended = manifest.join(reached, "path").groupBy("path", "bytes").agg(F.max("at").alias("last")).filter("last <> bytes")
+    ended = whole.join(reached.hint("merge"), "file").groupBy("path", "bytes").agg(F.max("at").alias("last")).filter("last <> bytes")
     if lost := ended.limit(1).collect():
         raise ValueError(f"{lost[0]['path']}: the chain of records ends at {lost[0]['last']} of {lost[0]['bytes']} bytes")
-    entries = reached.groupBy("path", (F.col("at") - F.pmod(F.col("at"), step)).alias("start")).agg(F.min("at").alias("entry"))
-    todo = stored(pieces.join(entries, ["path", "start"]).select("path", "entry", "end").filter("entry < end"), "todo")  # a file's end is no record
+    entries = reached.groupBy("file", (F.col("at") - F.pmod(F.col("at"), step)).alias("start")).agg(F.min("at").alias("entry"))
+    todo = stored(pieces.join(entries.hint("merge"), ["file", "start"]).select("path", "entry", "end").filter("entry < end"), "todo")  # a file's end is no record
     drop(pieces, *old)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
