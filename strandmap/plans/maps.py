@@ -10,7 +10,7 @@ from ..operators import binning, mapalgebra, matrices
 from ..registry import query, table
 from .proxies import CH, LI, MP, channels, map_values, samples
 
-FINAL = "sum(n) AS nhit, sum(s) / sum(w) AS m, 1 / sqrt(sum(w)) AS rms"
+FINAL = "CAST(sum(n) AS BIGINT) AS nhit, sum(s) / sum(w) AS m, 1 / sqrt(sum(w)) AS rms"
 SUMS = "s AS (SELECT x, y, feed, count(*) AS n, sum(d * w) AS s, sum(w) AS w FROM li GROUP BY x, y, feed)"
 
 
@@ -268,7 +268,7 @@ def _(spark, sf):
 @query(
     "correlation_blocks",
     f"WITH {CH}, c AS (SELECT a.freq AS i, b.freq AS j, corr(a.v, b.v) AS v FROM chn a JOIN chn b USING (vec_id) WHERE a.freq < b.freq AND b.freq < 16 GROUP BY ALL) "
-    "SELECT i // 4 AS bi, j // 4 AS bj, count(*) AS n, round((sum(v * v) * 500 - count(*)) / sqrt(2 * count(*)), 4) AS chi2, round(sum(v) * sqrt(500) / sqrt(count(*)), 4) AS mean FROM c GROUP BY ALL",
+    "SELECT CAST(i // 4 AS BIGINT) AS bi, CAST(j // 4 AS BIGINT) AS bj, count(*) AS n, round((sum(v * v) * 500 - count(*)) / sqrt(2 * count(*)), 4) AS chi2, round(sum(v) * sqrt(500) / sqrt(count(*)), 4) AS mean FROM c GROUP BY ALL",
 )
 def _(spark, sf):
     c = matrices.channel_correlation(channels(spark, sf).filter("freq < 16"), ["vec_id"], "freq", "v")

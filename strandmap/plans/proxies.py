@@ -12,7 +12,7 @@ from ..registry import table
 
 EV = "ev AS (SELECT event_id, epoch_us(ts) / 1000000 AS t, user_id, user_id % 19 AS feed, event_type, round(value * 100) AS c FROM events)"
 LI = "li AS (SELECT l_orderkey, l_linenumber AS feed, l_suppkey % 20 AS x, l_partkey % 25 AS y, round(l_extendedprice * 100) AS d, l_quantity AS w FROM lineitem)"
-CH = "ch AS (SELECT vec_id, label AS feed, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS freq FROM embeddings), chn AS (SELECT vec_id, feed, freq, round(e * 1000) AS v FROM ch)"
+CH = "ch AS (SELECT vec_id, label AS feed, unnest(embedding) AS e, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS freq FROM embeddings), chn AS (SELECT vec_id, feed, freq, round(e * 1000) AS v FROM ch)"
 MP = "m1 AS (SELECT x, y, sum(d) AS v FROM li GROUP BY x, y), m2 AS (SELECT x, y, sum(w) AS v FROM li WHERE feed = 1 GROUP BY x, y)"
 
 

@@ -304,7 +304,7 @@ def _(spark, sf):
 CUT = "CAST(l_discount > 0.05 AS INT) + 2 * CAST(l_tax > 0.04 AS INT) + 4 * CAST(l_quantity > 40 AS INT) + 8 * CAST(l_returnflag = 'R' AS INT)"
 
 
-@query("status_cuts", f"WITH w AS (SELECT l_linestatus AS k, {CUT} AS word FROM lineitem), b AS (SELECT *, unnest(range(4)) AS bit FROM w) SELECT k, CAST(bit AS INTEGER) AS bit, sum((word >> bit) % 2) AS cut, count(*) FILTER (WHERE word % CAST(pow(2, bit + 1) AS BIGINT) = 0) AS survivors FROM b GROUP BY k, bit")
+@query("status_cuts", f"WITH w AS (SELECT l_linestatus AS k, {CUT} AS word FROM lineitem), b AS (SELECT *, unnest(range(4)) AS bit FROM w) SELECT k, CAST(bit AS INTEGER) AS bit, CAST(sum((word >> bit) % 2) AS BIGINT) AS cut, count(*) FILTER (WHERE word % CAST(pow(2, bit + 1) AS BIGINT) = 0) AS survivors FROM b GROUP BY k, bit")
 def _(spark, sf):
     word = masking.status_word({0: F.col("l_discount") > 0.05, 1: F.col("l_tax") > 0.04, 2: F.col("l_quantity") > 40, 3: F.col("l_returnflag") == "R"})
     return masking.cut_summary(table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("k"), word.alias("word")), ["k"], "word", 4)
@@ -422,14 +422,14 @@ def _(spark, sf):
     return got.select(*[F.round(c, 9).alias(c) for c in ("lnl", "sigma2", "chi2")])
 
 
-@query("text_tokens", "SELECT event_id, len(string_split(props, ':')) AS n, string_split(props, ':')[1] AS first, TRY_CAST(trim(string_split(props, ':')[2], ' }') AS BIGINT) AS k, contains(props, '\"k\"') AS has FROM events")
+@query("text_tokens", "SELECT event_id, CAST(len(string_split(props, ':')) AS INTEGER) AS n, string_split(props, ':')[1] AS first, TRY_CAST(trim(string_split(props, ':')[2], ' }') AS BIGINT) AS k, contains(props, '\"k\"') AS has FROM events")
 def _(spark, sf):
     e = table(spark, sf, "events")
     p = F.col("props")
     return e.select("event_id", text.token_count(p, ":").alias("n"), text.nth_token(p, 1, ":").alias("first"), text.to_int(F.btrim(text.nth_token(p, 2, ":"), F.lit(" }"))).alias("k"), p.contains('"k"').alias("has"))
 
 
-@query("word_counts", "SELECT doc_id, len(regexp_extract_all(text, '[^ \\t]+')) AS n, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS padded FROM documents")
+@query("word_counts", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t]+')) AS INTEGER) AS n, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS padded FROM documents")
 def _(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", text.token_count(F.col("text")).alias("n"), text.zero_padded(F.col("doc_id"), 8).alias("padded"))
