@@ -17,7 +17,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 STEP = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
