@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _merged(left: DataFrame, right: DataFrame, on: str, by: list[str]) -> tuple[DataFrame, str, list[str]]:
+def _merged(left: DataFrame, right: DataFrame, on: str, by: list[str]) -> DataFrame:
     """Both sides in one table: a left row is a struct ``_l``, a right row a struct ``_r``."""
     lcols = [F.col(c) for c in left.columns]
     a = left.select(*by, F.col(on).alias("_at"), F.struct(*lcols).alias("_l"), F.lit(None).cast(right.select(F.struct(*right.columns)).schema[0].dataType).alias("_r"))
     b = right.select(*by, F.col(on).alias("_at"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.struct(*right.columns).alias("_r"))
-    return a.union(b), on, by
+    return a.union(b)
 
 
 def _bracketed(left: DataFrame, right: DataFrame, on: str, by: list[str], span: Column | None) -> DataFrame:
@@ -21,7 +21,7 @@ def _bracketed(left: DataFrame, right: DataFrame, on: str, by: list[str], span:
     One shuffle: the union of both sides is ordered once. Without a ``by`` key the work must be cut into spans of the
     order: each span also gets the last right row before it and the first after it, so no task sees the whole table.
     """
-    both, _, _ = _merged(left, right, on, by)
+    both = _merged(left, right, on, by)
     keys = [F.col(k) for k in by]
     before = Window.partitionBy(*keys).orderBy(F.col("_at"), F.col("_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*keys).orderBy(F.col("_at"), F.col("_l").isNotNull()).rowsBetween(0, Window.unboundedFollowing)

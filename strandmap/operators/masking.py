@@ -48,7 +48,9 @@ def status_word(flags: dict[int, Column]) -> Column:
 
 def cut_summary(df: DataFrame, keys: list[str], word: str, bits: int) -> DataFrame:
     """By bit: rows with it set, and rows that survive all bits up to it."""
-    rows = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.struct(b.alias("bit"), F.getbit(F.col(word), b).alias("hit"), (F.col(word).bitwiseAND(F.shiftleft(F.lit(2).cast("long"), 0) * 0 + F.pow(F.lit(2), b + 1).cast("long") - 1) == 0).alias("left"))))
+    upto = lambda b: F.pow(F.lit(2), b + 1).cast("long") - 1
+    each = lambda b: F.struct(b.alias("bit"), F.getbit(F.col(word), b).alias("hit"), (F.col(word).bitwiseAND(upto(b)) == 0).alias("left"))
+    rows = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), each))
     return df.select(*keys, rows.alias("r")).groupBy(*keys, "r.bit").agg(F.sum(F.col("r.hit").cast("long")).alias("cut"), F.count_if("r.left").alias("survivors"))
 
 
