@@ -1,3 +1,3 @@
 """Queries on the supplied tables and whole reduction plans."""
 
-from . import maps, streams  # noqa: F401  they register their queries
+from . import extra, maps, streams  # noqa: F401  they register their queries
