@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Ranges, ascii_lower, partitions
+from .common import Ranges, ascii_lower, literal, partitions
 
 SHINGLE, K, DIGITS = 5, 256, 12
 #: Range of the hashes: 4 bits a hex digit.
@@ -94,11 +94,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     top, follower = [None] * size, [0] * size
     for (b, t), (after, _) in zip(tops, [*tops[1:], tops[0]], strict=True):
         top[b], follower[b] = t, after
-    arr = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
     b = F.col("bucket") + 1
-    is_top = F.coalesce("id", F.lit(-(2**63)).cast("long")) == F.element_at(arr(top, "long"), b)
+    is_top = F.coalesce("id", F.lit(-(2**63)).cast("long")) == F.element_at(literal(top, "array<bigint>"), b)
     place = lambda bucket, ghost: F.struct(bucket.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
-    own, copy = place(F.col("bucket"), False), place(F.element_at(arr(follower, "int"), b), True)
+    own, copy = place(F.col("bucket"), False), place(F.element_at(literal(follower, "array<int>"), b), True)
     dealt = base.withColumn("_to", F.explode(F.when(is_top, F.array(own, copy)).otherwise(F.array(own)))).select("id", "text", "_to.*")
     by = Window.partitionBy("bucket").orderBy(F.col("ghost").desc(), F.col("id").asc_nulls_first(), "text")
     return dealt.withColumn("next", F.lag("text").over(by))

@@ -78,6 +78,12 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
+def by_chunks(f, texts: list[str]) -> np.ndarray:
+    """f(bytes, offsets) over texts, a chunk at a time."""
+    data, offs = joined(texts)
+    return np.vstack([f(part, part_offs) for _, _, part, part_offs in tk.chunks(data, offs)])
+
+
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tk.buffers(pa.array(texts, pa.large_string()))
 
@@ -114,8 +120,8 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RAT
             emb[ids] -= (step * 40 * w)[:, None] * back
     model = Model(langs, (emb @ out).astype(np.float32), bias)
     texts, y = [t for t, _ in held], np.array([langs.index(v) for _, v in held])
-    model.heat = temperature(model.logits(*joined(texts)), y)
-    p = model.probabilities(*joined(texts))
+    model.heat = temperature(by_chunks(model.logits, texts), y)
+    p = by_chunks(model.probabilities, texts)
     right = np.sort(p[np.arange(len(y)), y][p.argmax(1) == y])
     # The score below which at most a share REJECTED of held-back texts lies, and never above MOST: texts in two
     # known languages come to about a half for either and stay.

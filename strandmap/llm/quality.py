@@ -106,19 +106,18 @@ class Model:
 def random_indexing(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Word vectors: each row's own index vector plus the direction of the summed index vectors around it."""
     own = index_vectors(1 << BITS, 3)
-    spelt, _, n = tokens(data, offs)
-    doc = np.repeat(np.arange(len(n)), n)
     around = np.zeros_like(own)
-    for step in range(1, REACH + 1):
-        same = doc[step:] == doc[:-step]
-        a, b = spelt[:-step][same], spelt[step:][same]
-        for target, context in ((a, b), (b, a)):
-            order = np.argsort(target, kind="stable")
-            counts = np.bincount(target, minlength=1 << BITS)
-            for lo in range(0, 1 << BITS, 1 << 10):  # a slice of rows at a time bounds the memory
-                c = counts[lo : lo + (1 << 10)]
-                s = int(counts[:lo].sum())
-                around[lo : lo + (1 << 10)] += sums(own[context[order[s : s + int(c.sum())]]], c)
+    for _, _, part, part_offs in tk.chunks(data, offs):
+        spelt, _, n = tokens(part, part_offs)
+        doc = np.repeat(np.arange(len(n)), n)
+        for step in range(1, REACH + 1):
+            same = doc[step:] == doc[:-step]
+            a, b = spelt[:-step][same], spelt[step:][same]
+            for target, context in ((a, b), (b, a)):
+                order = np.argsort(target, kind="stable")
+                rows, starts = np.unique(target[order], return_index=True)
+                if len(rows):
+                    around[rows] += np.add.reduceat(own[context[order]], starts, axis=0)
     size = np.linalg.norm(around, axis=1, keepdims=True)
     return own + 2 * around / np.maximum(size, 1e-9)
 
