@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def links_of(pairs: DataFrame) -> DataFrame:
         """Pairs (a: hub, b) whose sets are alike enough; each text moves once a pair, the hub's once a run of RUN members."""
-        runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
+        runs = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs")), "runs")  # so that a large hub's join can be split
+        spent.append(runs)
         run = F.pmod(F.xxhash64("b"), F.col("runs")).cast("int")
         members = pairs.join(runs, "a").select(F.col("a").alias("hub"), run.alias("run"), F.col("b").alias("node"))
         own = runs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("a").alias("node"))
