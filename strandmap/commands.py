@@ -10,7 +10,7 @@ from .operators import binning, fits, grids, harmonics, joins, kernels, mapalgeb
 MAP: dict[str, Callable] = {
     "single": mapalgebra.single, "pair": mapalgebra.combine, "weighted_sum": mapalgebra.weighted_sum, "mean_and_stddev": mapalgebra.mean_and_deviation, "blend": mapalgebra.blended, "stats": mapalgebra.statistics, "index": mapalgebra.index_map,
     "smooth_pixels": mapalgebra.smoothed, "mask_edge": mapalgebra.mask_edge, "fill": mapalgebra.filled, "pol_angle": mapalgebra.best_angle, "remove_md": mapalgebra.remove_monopole_dipole, "map2mask": mapalgebra.row_index,
-    "degrade": binning.degraded, "upgrade": binning.upgraded, "degrade_noise": binning.degraded_noise, "paint": painting.paint, "sources": painting.source_map, "clusters": painting.add_clusters, "find_patch": painting.quietest_patch, "sun_mask": painting.sun_mask,
+    "degrade": binning.degraded, "upgrade": binning.upgraded, "degrade_noise": binning.degraded_noise, "paint": painting.paint, "sources": painting.source_map, "clusters": painting.add_clusters, "find_patch": painting.calmest_patch, "sun_mask": painting.sun_mask,
     "angles": painting.angle_moments, "analyse": harmonics.refined, "synthesise": harmonics.synthesise, "smooth": harmonics.windowed, "multipoles": harmonics.degree_range, "merge": harmonics.merged, "spectrum": harmonics.spectrum, "transfer": harmonics.transfer, "order": pixels.nested_to_ring,
 }
 MATRIX: dict[str, Callable] = {

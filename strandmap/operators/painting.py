@@ -59,8 +59,8 @@ def add_clusters(pixels: DataFrame, clusters: DataFrame, pixel: str, reach: floa
     return near.groupBy(pixel).agg(F.sum(F.col("amplitude") * pressure_profile(x, *profile)).alias("v"))
 
 
-def quietest_patch(pixels: DataFrame, centres: DataFrame, value: str, mask: str, radius: float, cell: float) -> DataFrame:
-    """Mean and deviation in a disc about each centre of which at least half is unmasked; the quietest first."""
+def calmest_patch(pixels: DataFrame, centres: DataFrame, value: str, mask: str, radius: float, cell: float) -> DataFrame:
+    """Mean and deviation in a disc about each centre of which at least half is unmasked; the calmest first."""
     near = near_sources(pixels, centres, radius, cell)
     ok = F.col(mask) > 0.5
     got = near.groupBy("slon", "slat").agg(F.avg(F.when(ok, F.col(value))).alias("mean"), F.stddev_pop(F.when(ok, F.col(value))).alias("rms"), F.avg(ok.cast("double")).alias("open"))

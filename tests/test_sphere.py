@@ -75,7 +75,7 @@ def test_painting(spark):
     assert total == pytest.approx(7.0)
     c = s.select("slon", "slat", F.lit(0.2).alias("r500"), F.lit(1.0).alias("amplitude"))
     assert painting.add_clusters(m, c, "pix", 0.6, 0.3, (1.0, 1.0, 0.3, 1.05, 5.5)).filter("v <= 0").count() == 0
-    q = painting.quietest_patch(m.withColumn("v", F.col("lon") * (F.col("lat") + 2)).withColumn("ok", F.lit(1.0)), s.select("slon", "slat"), "v", "ok", 0.4, 0.3).collect()
+    q = painting.calmest_patch(m.withColumn("v", F.col("lon") * (F.col("lat") + 2)).withColumn("ok", F.lit(1.0)), s.select("slon", "slat"), "v", "ok", 0.4, 0.3).collect()
     assert [r["slon"] for r in q] == [4.0, 1.0] or q[0]["rms"] <= q[1]["rms"]
     a = painting.angle_moments(m.select("pix", F.lit(0.3).alias("psi")), "pix", "psi", 2).filter("s = 2").head()
     assert a["cos"] == pytest.approx(math.cos(0.6))
