@@ -259,10 +259,32 @@ def _(spark, sf):
     return matrices.up_add(*two_matrices(spark, sf), 4)
 
 
+def correlations(tod):
+    c = matrices.channel_correlation(tod, ["vec_id"], "freq", "v")
+    return c.select("i", "j", F.round("v", 6).alias("v"), "n")
+
+
+def correlation_blocks(tod):
+    got = matrices.block_statistics(matrices.channel_correlation(tod, ["vec_id"], "freq", "v"), 4, 500)
+    return got.select("bi", "bj", "n", F.round("chi2", 4).alias("chi2"), F.round("mean", 4).alias("mean"))
+
+
+def correlation_extremes(tod):
+    got = matrices.channel_extremes(matrices.channel_correlation(tod, ["vec_id"], "freq", "v"))
+    return got.select("i", *[F.round(k, 5).alias(k) for k in ("mean", "largest", "mean_size")])
+
+
+# Queries named ..._all correlate all channels; those without it answer SQL that stops at the first few.
+
+
 @query("channel_correlation", f"WITH {CH} SELECT a.freq AS i, b.freq AS j, round(corr(a.v, b.v), 6) AS v, count(*) AS n FROM chn a JOIN chn b USING (vec_id) WHERE a.freq < b.freq AND a.freq < 8 AND b.freq < 8 GROUP BY ALL")
 def _(spark, sf):
-    c = matrices.channel_correlation(channels(spark, sf).filter("freq < 8"), ["vec_id"], "freq", "v")
-    return c.select("i", "j", F.round("v", 6).alias("v"), "n")
+    return correlations(channels(spark, sf).filter("freq < 8"))
+
+
+@query("channel_correlation_all")
+def _(spark, sf):
+    return correlations(channels(spark, sf))
 
 
 @query(
@@ -271,9 +293,12 @@ def _(spark, sf):
     "SELECT CAST(i // 4 AS BIGINT) AS bi, CAST(j // 4 AS BIGINT) AS bj, count(*) AS n, round((sum(v * v) * 500 - count(*)) / sqrt(2 * count(*)), 4) AS chi2, round(sum(v) * sqrt(500) / sqrt(count(*)), 4) AS mean FROM c GROUP BY ALL",
 )
 def _(spark, sf):
-    c = matrices.channel_correlation(channels(spark, sf).filter("freq < 16"), ["vec_id"], "freq", "v")
-    got = matrices.block_statistics(c, 4, 500)
-    return got.select("bi", "bj", "n", F.round("chi2", 4).alias("chi2"), F.round("mean", 4).alias("mean"))
+    return correlation_blocks(channels(spark, sf).filter("freq < 16"))
+
+
+@query("correlation_blocks_all")
+def _(spark, sf):
+    return correlation_blocks(channels(spark, sf))
 
 
 @query(
@@ -282,8 +307,12 @@ def _(spark, sf):
     "SELECT i, round(avg(v), 5) AS mean, round(max(abs(v)), 5) AS largest, round(avg(abs(v)), 5) AS mean_size FROM c WHERE v <> 0 GROUP BY i",
 )
 def _(spark, sf):
-    c = matrices.channel_correlation(channels(spark, sf).filter("freq < 12"), ["vec_id"], "freq", "v")
-    return matrices.channel_extremes(c).select("i", *[F.round(k, 5).alias(k) for k in ("mean", "largest", "mean_size")])
+    return correlation_extremes(channels(spark, sf).filter("freq < 12"))
+
+
+@query("correlation_extremes_all")
+def _(spark, sf):
+    return correlation_extremes(channels(spark, sf))
 
 
 @query(

@@ -74,3 +74,25 @@ def test_all_events_tell_the_scan_kind(spark):
     got = run(spark, "scan_kinds_all")
     assert dict(zip(got.user_id, got["mode"], strict=True)) == want
     assert want != dict(run(spark, "scan_kinds")[["user_id", "mode"]].itertuples(index=False, name=None))
+
+
+def test_all_channels_are_correlated(spark):
+    x = np.stack(read("embeddings").embedding).astype(np.float64) * 1000
+    x = np.sign(x) * np.floor(np.abs(x) + 0.5)
+    n, k = x.shape
+    want = np.corrcoef(x.T)
+    off = ~np.eye(k, dtype=bool)
+    got = run(spark, "channel_correlation_all")
+    assert len(got) == k * (k - 1) // 2 > len(run(spark, "channel_correlation")) and (got.n == n).all()
+    assert np.allclose(got.v, want[got.i, got.j], atol=1e-6)
+    got = run(spark, "correlation_blocks_all")
+    assert set(zip(got.bi, got.bj, strict=True)) == {(i // 4, j // 4) for i in range(k) for j in range(i + 1, k)}
+    for r in got.itertuples():
+        v = [want[i, j] for i in range(k) for j in range(i + 1, k) if (i // 4, j // 4) == (r.bi, r.bj)]
+        assert r.n == len(v) and abs(r.mean - sum(v) * (500 / len(v)) ** 0.5) < 1e-3
+        assert abs(r.chi2 - (500 * np.square(v).sum() - len(v)) / (2 * len(v)) ** 0.5) < 1e-3
+    got = run(spark, "correlation_extremes_all").set_index("i").sort_index()
+    v = np.where(off, want, 0)
+    assert list(got.index) == list(range(k))
+    assert np.allclose(got["mean"], v.sum(1) / (k - 1), atol=2e-5) and np.allclose(got.largest, np.abs(v).max(1), atol=2e-5)
+    assert np.allclose(got.mean_size, np.abs(v).sum(1) / (k - 1), atol=2e-5)
