@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,11 +103,8 @@ OTHERS = [
     "An eclipse was seen by the general public.", "Attribution of the painting is disputed.", "Noncommercial flights were cancelled.", "No rights were reserved for the press.", "This version of the library is old.",
 ]
 UNKNOWN = "unknown"
-#: Words of which every feature holds one; a paragraph without any is unknown.
-ANCHORS = set(
-    "affero agpl apache attribution bsd cc cc0 commons confidential copyright copyrights disclaimer domain eclipse gnu gpl isc lgpl license licensed licenses licence licenced mozilla mpl "
-    "noncommercial permission permitted proprietary redistribute redistribution redistributions reserved rights sharealike spdx sublicense unencumbered unlicense warranties warranty".split()
-)
+#: Common words, the commonest first; alone or in a row they make no notice, which trains the unknown class.
+COMMON = dict.fromkeys("the of and to in a is that it on for be as with by at an are this or not you from have all no has may can must which any its into under either following provided use used such own out without shall your made part file files c s v nd".split())
 SUREST, CONFIRM, EPOCHS, NGRAM = 0.6, 0.6, 600, 3
 
 
@@ -115,8 +113,12 @@ def words(text: str) -> list[str]:
 
 
 def ngrams(w: list[str]) -> list[str]:
-    """1- to 3-grams that hold an anchor."""
-    return [" ".join(w[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1) if any(x in ANCHORS for x in w[i : i + n])]
+    """All 1- to 3-grams."""
+    return [" ".join(w[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1)]
+
+
+#: All words of templates; features hold no others.
+ANCHORS = {w for some in TEMPLATES.values() for t in some for w in words(t)}
 
 
 @dataclass
@@ -135,6 +137,24 @@ class Model:
         p = np.exp(z - z.max())
         return p / p.sum()
 
+    def anchors(self) -> list[str]:
+        """Words without which a paragraph is unknown: words of features but for a set whose features cannot outweigh the bias.
+
+        A family leads the unknown class by the sum of its features' leads over the root of their number, at most the
+        root of the sum of the squares of the positive ones, less the lead of the bias. Words join the set, common ones
+        first, while that bound over all features made of the set's words stays below 0 for every family.
+        """
+        lead = np.maximum(self.weights[:, :-1] - self.weights[:, -1:], 0).astype(np.float64) ** 2
+        most = np.maximum(self.bias[-1] - self.bias[:-1] - 0.01, 0) ** 2  # weights are rounded in Spark
+        order = {w: i for i, w in enumerate(COMMON)}
+        every = sorted({w for g in self.features for w in g.split(" ")}, key=lambda w: (order.get(w, len(order)), w))
+        weak: set[str] = set()
+        for w in every:
+            more = weak | {w}
+            if (lead[[i for g, i in self.features.items() if more.issuperset(g.split(" "))]].sum(0) < most).all():
+                weak = more
+        return sorted(set(every) - weak)
+
 
 def train(templates: dict[str, list[str]] = TEMPLATES, others: list[str] = OTHERS, seed: int = 1) -> Model:
     """Multinomial logistic regression on binary n-grams of templates and of cut and noisy versions of them.
@@ -144,7 +164,7 @@ def train(templates: dict[str, list[str]] = TEMPLATES, others: list[str] = OTHER
     """
     families = [*sorted(templates), UNKNOWN]
     rng = np.random.default_rng(seed)
-    noise = sorted({w for t in others for w in words(t)} - ANCHORS)
+    noise = sorted({w for t in others for w in words(t)} | COMMON.keys())
     rows: list[tuple[list[str], int]] = []
     for y, name in enumerate(families):
         for text in templates.get(name, others):
@@ -161,6 +181,12 @@ def train(templates: dict[str, list[str]] = TEMPLATES, others: list[str] = OTHER
             for more in (0, 1):
                 also = [x for x in rng.choice(known, more) if " " not in x]
                 rows.append((list(map(str, [*rng.choice(noise, rng.integers(0, 8)), g, *rng.choice(noise, rng.integers(0, 8)), *also])), len(families) - 1))
+        elif COMMON.keys() >= set(g.split(" ")):
+            rows.extend(([*map(str, rng.choice(noise, rng.integers(0, 8))), *g.split(" "), *map(str, rng.choice(noise, rng.integers(0, 8)))], len(families) - 1) for _ in range(8))
+    plain = [g for g in known if COMMON.keys() >= set(g.split(" "))]
+    for _ in range(400 if plain else 0):  # nor do many common ones
+        v = [w for g in rng.choice(plain, rng.integers(2, 8)) for w in [*str(g).split(" "), str(rng.choice(noise))]]
+        rows.append((v, len(families) - 1))
     features = {g: i for i, g in enumerate(known)}
     x = np.zeros((len(rows), len(features)), np.float32)
     for i, (w, _) in enumerate(rows):
@@ -208,52 +234,93 @@ def grams_of(w: Column) -> Column:
     return F.array_distinct(F.concat(*[at(n) for n in range(1, NGRAM + 1)]))
 
 
-def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    r"""Licence paragraphs: one row for each paragraph (run between line ends) that the classifier gives a known family.
-
-    Returns ``id_col``, r0, r1 (key of the row), pos (from 0), paragraph, predicted, probability, family and likeness.
-    ``family`` is the predicted one if the probability reaches the calibrated least and a template of it shares at
-    least CONFIRM of its 1- to 3-grams with the paragraph, else "unknown". Paragraphs without any feature have the
-    unknown class by the model's own bias and are left out, as are those predicted unknown. Null or empty texts have
-    none. Other columns are not read. Whole texts are read; only paragraphs that hold a word of the model are taken
-    apart, which loses none, as all other features are zero. Weights and templates are bounded by the templates.
-    """
-    model = model or train()
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    anchor = rf"(?<![a-z0-9]){prefix_tree(sorted(ANCHORS))}(?![a-z0-9])"
-    paras = F.filter(F.transform(F.split(ascii_lower(F.col("text")), "\n", -1), lambda p, i: F.struct(i.alias("pos"), p.alias("low"))), lambda s: s["low"].rlike(anchor))
-    keyed = base.select("id", "text", *[k.alias(f"r{i}") for i, k in enumerate(row_key(F.col("id"), F.col("text")))]).withColumn("paras", paras).filter(F.size("paras") > 0).dropDuplicates(["r0", "r1"])
-    found = keyed.select("id", "r0", "r1", F.split("text", "\n", -1).alias("raw"), F.explode("paras").alias("p"))
-    found = found.select("id", "r0", "r1", "p.pos", F.get("raw", F.col("p.pos")).alias("paragraph"), F.regexp_extract_all("p.low", F.lit("([a-z0-9]+)"), F.lit(1)).alias("w"))
-    found = stored(found.withColumn("grams", grams_of(F.col("w"))).drop("w"), "paragraphs")
-    weights = _rows(docs, [{"g": g, "w": [round(float(v), 5) for v in model.weights[i]]} for g, i in model.features.items()], "g string, w array<double>")
-    scored = found.select("id", "r0", "r1", "pos", F.explode("grams").alias("g")).join(F.broadcast(weights), "g")
+def _scored(found: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``found`` (r0, r1, pos, lines, paragraph) that have a known family, with it, its probability, the likeness of the
+    nearest template and whether both suffice. Only n-grams of features and templates are kept; no other counts."""
+    of_templates = [{"predicted": f, "grams": sorted(set(ngrams(words(t))))} for f in TEMPLATES for t in TEMPLATES[f]]
+    known = sorted({*model.features, *(g for t in of_templates for g in t["grams"])})
+    w = F.regexp_extract_all(ascii_lower(F.col("paragraph")), F.lit("([a-z0-9]+)"), F.lit(1))
+    found = found.withColumn("w", w).select("r0", "r1", "pos", "lines", "paragraph", F.filter(grams_of(F.col("w")), lambda g: g.isin(known)).alias("grams"))
+    found = stored(found, "paragraphs")  # unfiltered: a filter would be pushed below ``w``, which each n-gram would then take anew
+    weights = _rows(found, [{"g": g, "w": [round(float(v), 5) for v in model.weights[i]]} for g, i in model.features.items()], "g string, w array<double>")
+    scored = found.select("r0", "r1", "pos", "lines", F.explode("grams").alias("g")).join(F.broadcast(weights), "g")
     k = len(model.families)
-    scored = scored.groupBy("id", "r0", "r1", "pos").agg(F.count("*").alias("n"), *[F.sum(F.col("w")[j]).alias(f"z{j}") for j in range(k)])
+    scored = scored.groupBy("r0", "r1", "pos", "lines").agg(F.count("*").alias("n"), *[F.sum(F.col("w")[j]).alias(f"z{j}") for j in range(k)])
     z = [(F.lit(float(model.bias[j])) + F.col(f"z{j}") / F.sqrt("n")) / F.lit(model.heat) for j in range(k)]
     top = F.greatest(*z)
     total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
     best = F.lit(model.families[-1])
     for j in reversed(range(k)):
         best = F.when(z[j] == top, F.lit(model.families[j])).otherwise(best)
-    scored = scored.select("r0", "r1", "pos", best.alias("predicted"), (1 / total).alias("probability")).filter(F.col("predicted") != UNKNOWN)
-    templates = _rows(docs, [{"predicted": f, "grams": sorted(set(grams(t)))} for f in TEMPLATES for t in TEMPLATES[f]], "predicted string, grams array<string>")
+    scored = scored.select("r0", "r1", "pos", "lines", best.alias("predicted"), (1 / total).alias("probability")).filter(F.col("predicted") != UNKNOWN)
+    templates = _rows(found, of_templates, "predicted string, grams array<string>")
     templates = templates.groupBy("predicted").agg(F.collect_list("grams").alias("templates"))
-    out = found.join(scored, ["r0", "r1", "pos"]).join(F.broadcast(templates), "predicted")
+    out = found.join(scored, ["r0", "r1", "pos", "lines"]).join(F.broadcast(templates), "predicted")
     like = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)))
-    out = out.select("id", "r0", "r1", "pos", "paragraph", "predicted", "probability", like.alias("likeness"))
-    sure = (F.col("probability") >= model.least) & (F.col("likeness") >= CONFIRM)
-    return out.select(F.col("id").alias(id_col), "r0", "r1", "pos", "paragraph", "predicted", "probability", F.when(sure, F.col("predicted")).otherwise(F.lit(UNKNOWN)).alias("family"), "likeness")
+    out = out.select("r0", "r1", "pos", "lines", "paragraph", "predicted", "probability", like.alias("likeness"))
+    return out.withColumn("sure", (F.col("probability") >= model.least) & (F.col("likeness") >= CONFIRM))
+
+
+def _runs(lines: Column, ends: Callable[[Column, Column], Column]) -> Column:
+    """Runs (pos, lines) of two or more lines between those for which ``ends`` of line and number holds."""
+    at = F.filter(F.transform(lines, lambda x, i: F.when(ends(x, i), i)), lambda i: i.isNotNull())
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(-1)), at).alias("a"), F.concat(at, F.array(F.size(lines))).alias("b"))
+    runs = F.transform(pairs, lambda p: F.struct((p["a"] + 1).alias("pos"), (p["b"] - p["a"] - 1).alias("lines")))
+    return F.filter(runs, lambda r: r["lines"] > 1)
+
+
+def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    r"""Licence paragraphs: one row for each line that the classifier gives a known family, and for each block of lines
+    (a notice that is wrapped) that is confirmed to be of one.
+
+    Returns ``id_col``, r0, r1 (key of the row), pos (of the first line, from 0), lines (1, or a block's), paragraph
+    (a block's lines are joined by a space), predicted, probability, family and likeness. ``family`` is the predicted
+    one if the probability reaches the calibrated least and a template of it shares at least CONFIRM of its 1- to
+    3-grams with the paragraph, else "unknown". Lines predicted unknown are left out. Null or empty texts have none.
+    Other columns are not read.
+
+    Blocks are runs of two or more lines that are not blank; of these, runs of lines that are not known alone; and of
+    these, runs of lines that each hold an anchor. A block is left out where a line or a smaller block within it is of
+    its family. Texts, lines and blocks without an anchor are passed over: they are unknown (see ``Model.anchors``).
+    Weights and templates are bounded by the templates.
+    """
+    model = model or train()
+    anchor = rf"(?<![a-z0-9]){prefix_tree(model.anchors())}(?![a-z0-9])"
+    holds = lambda x: ascii_lower(x).rlike(anchor)
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(holds(F.col("text")))
+    texts = base.select("id", "text", *[k.alias(f"r{i}") for i, k in enumerate(row_key(F.col("id"), F.col("text")))]).dropDuplicates(["r0", "r1"])
+    texts = stored(texts.select("id", "r0", "r1", F.split("text", "\n", -1).alias("all")), "licence-texts")
+
+    single = F.transform("all", lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("lines"), x.alias("paragraph")))
+    alone = texts.select("r0", "r1", F.inline(F.filter(single, lambda s: holds(s["paragraph"]))))
+    alone = stored(_scored(alone, model), "licence-lines")
+    known = alone.filter("sure").groupBy("r0", "r1").agg(F.collect_list(F.struct("pos", "lines", "predicted")).alias("known"), F.collect_list("pos").alias("at"))
+
+    both = texts.join(known.select("r0", "r1", "at"), ["r0", "r1"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+    blank = lambda x: x.rlike(r"^\s*$")
+    taken = lambda x, i: blank(x) | F.array_contains("at", i)
+    lines = F.col("all")
+    runs = F.array_distinct(F.concat(_runs(lines, lambda x, i: blank(x)), _runs(lines, taken), _runs(lines, lambda x, i: taken(x, i) | ~holds(x))))
+    blocks = F.transform(runs, lambda r: F.struct(r["pos"].alias("pos"), r["lines"].alias("lines"), F.array_join(F.slice(lines, r["pos"] + 1, r["lines"]), " ").alias("paragraph")))
+    blocks = both.select("r0", "r1", F.inline(F.filter(blocks, lambda b: holds(b["paragraph"]))))
+    blocks = stored(_scored(blocks, model), "licence-blocks").filter("sure")
+    within = blocks.groupBy("r0", "r1").agg(F.collect_list(F.struct("pos", "lines", "predicted")).alias("found"))
+    blocks = blocks.join(within, ["r0", "r1"]).join(known.select("r0", "r1", "known"), ["r0", "r1"], "left")
+    end = F.col("pos") + F.col("lines")
+    inside = lambda k: (k["predicted"] == F.col("predicted")) & (k["pos"] >= F.col("pos")) & (k["pos"] + k["lines"] <= end) & (k["lines"] < F.col("lines"))
+    blocks = blocks.filter(~F.exists("found", inside) & ~F.coalesce(F.exists("known", inside), F.lit(False)))
+
+    out = alone.unionByName(blocks.select(*alone.columns)).join(texts.select("id", "r0", "r1"), ["r0", "r1"])
+    return out.select(F.col("id").alias(id_col), "r0", "r1", "pos", "lines", "paragraph", "predicted", "probability", F.when(F.col("sure"), F.col("predicted")).otherwise(F.lit(UNKNOWN)).alias("family"), "likeness")
 
 
 def grams(text: str) -> list[str]:
-    w = words(text)
-    return [" ".join(w[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1)]
+    return ngrams(words(text))
 
 
 def by_document(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per input row: ``id_col``, n_licences (paragraphs of a known family), n_unknown (licence-like ones of none),
-    families (sorted, comma-joined; empty if none) and positions (array of known paragraphs' numbers, ascending)."""
+    """A row per input row: ``id_col``, n_licences (lines and blocks of a known family), n_unknown (licence-like lines of none),
+    families (sorted, comma-joined; empty if none) and positions (array of the first lines' numbers, ascending)."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.select("id", *[k.alias(f"r{i}") for i, k in enumerate(row_key(F.col("id"), F.col("text")))])
     known = F.col("family") != UNKNOWN

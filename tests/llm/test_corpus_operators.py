@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -398,3 +399,32 @@ def test_query_digests(spark):
         m = len(t) // 3
         assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest()
     assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_licences_of_wrapped_and_cut_notices(spark):
+    m = licences.train()
+    all_templates = [(f, t) for f in sorted(licences.TEMPLATES) for t in licences.TEMPLATES[f]]
+    prose = "The hills are green.\nHe went to the market and paid.\n"
+    rows = [(10 + k, prose + "\n" * (k % 2) + "\n".join(textwrap.wrap(t, 76)) + "\n" + prose) for k, (_, t) in enumerate(all_templates)]
+    rows += [(100 + k, "\n".join(textwrap.wrap(t, 40, initial_indent="# ", subsequent_indent="# "))) for k, (_, t) in enumerate(all_templates)]
+    cut = "Hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."
+    mit, bsd = licences.TEMPLATES["mit"][0], licences.TEMPLATES["bsd"][0]
+    rows += [(500, cut), (501, mit + "\n" + "\n".join(textwrap.wrap(bsd, 76))), (502, f"{prose}\n{bsd}\n\n{prose}")]
+    got = {r["doc_id"]: r for r in licences.by_document(docs_of(spark, rows), m).collect()}
+    wrong = [(i, f, got[i]["families"]) for k, (f, _) in enumerate(all_templates) for i in (10 + k, 100 + k) if f not in got[i]["families"].split(",")]
+    assert not wrong
+    assert got[500]["families"] == "mit" and got[501]["families"] == "bsd,mit"
+    assert (got[502]["n_licences"], got[502]["positions"]) == (1, [3])
+    lines = licences.scan(docs_of(spark, rows), m).filter("doc_id = 501").collect()
+    assert sorted((r["pos"], r["lines"], r["family"]) for r in lines if r["family"] != licences.UNKNOWN)[0] == (0, 1, "mit")
+
+
+def test_licences_pass_over_only_what_is_unknown():
+    m = licences.train()
+    assert all(g in m.features for some in licences.TEMPLATES.values() for t in some for g in licences.grams(t))
+    weak = sorted({w for g in m.features for w in g.split(" ")} - set(m.anchors()))
+    r = random.Random(3)
+    bits = [g for g in m.features if set(g.split(" ")) <= set(weak)]
+    for _ in range(2000):
+        p = " ".join(r.choice(bits) for _ in range(r.randint(1, 12)))
+        assert m.families[m.probabilities(p).argmax()] == licences.UNKNOWN
