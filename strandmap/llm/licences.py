@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, stored
+from .common import LOWER, UPPER, ascii_lower, row_key, stored
+from .sampling import temperature
+
+ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 #: Common wordings of licence notices by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -103,13 +106,17 @@ OTHERS = [
     "An eclipse was seen by the general public.", "Attribution of the painting is disputed.", "Noncommercial flights were cancelled.", "No rights were reserved for the press.", "This version of the library is old.",
 ]
 UNKNOWN = "unknown"
+#: Families whose wordings differ by a word or two.
+KIN = {"agpl": "gnu", "gpl": "gnu", "lgpl": "gnu", "cc-by": "cc", "cc-by-nc": "cc", "cc-by-sa": "cc"}
 #: Common words, the commonest first; alone or in a row they make no notice, which trains the unknown class.
 COMMON = dict.fromkeys("the of and to in a is that it on for be as with by at an are this or not you from have all no has may can must which any its into under either following provided use used such own out without shall your made part file files c s v nd".split())
-SUREST, CONFIRM, EPOCHS, NGRAM = 0.6, 0.6, 600, 3
+CONFIRM, EPOCHS, FOLDS, NGRAM = 0.6, 200, 4, 3
+#: What the bias gives the unknown class, how far weak n-grams may outweigh it, and the errors allowed above the least probability.
+BIAS, REACH, ERRORS = 3.0, 2.95, 0.02
 
 
 def words(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower())
+    return re.findall(r"[a-z0-9]+", text.translate(ASCII_LOWER))
 
 
 def ngrams(w: list[str]) -> list[str]:
@@ -117,8 +124,16 @@ def ngrams(w: list[str]) -> list[str]:
     return [" ".join(w[i : i + n]) for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1)]
 
 
-#: All words of templates; features hold no others.
-ANCHORS = {w for some in TEMPLATES.values() for t in some for w in words(t)}
+def likeness(w: list[str], templates: list[str]) -> float:
+    """The largest share of a template's n-grams that are among those of the words."""
+    own = set(ngrams(w))
+    return max((len(own & (g := set(ngrams(words(t))))) / len(g) for t in templates), default=0.0)
+
+
+def weak(gram: str) -> bool:
+    """Single words and rows of common words alone don't make a notice."""
+    w = gram.split(" ")
+    return len(w) == 1 or COMMON.keys() >= set(w)
 
 
 @dataclass
@@ -127,8 +142,9 @@ class Model:
     features: dict[str, int]
     weights: np.ndarray
     bias: np.ndarray
-    heat: float
-    least: float
+    heat: float = 1.0
+    least: float = 0.5
+    held_back: dict[str, float] = field(default_factory=dict)  # shares of held-back rows: given their class, right of those confirmed, confirmed of known and of left-out families
 
     def probabilities(self, text: str) -> np.ndarray:
         """The same in Python as ``scan`` does in Spark, for tests."""
@@ -137,81 +153,115 @@ class Model:
         p = np.exp(z - z.max())
         return p / p.sum()
 
-    def anchors(self) -> list[str]:
-        """Words without which a paragraph is unknown: words of features but for a set whose features cannot outweigh the bias.
+    def strong(self) -> list[str]:
+        """The pairs of words without one of which a paragraph is unknown: its features are then all weak.
 
         A family leads the unknown class by the sum of its features' leads over the root of their number, at most the
-        root of the sum of the squares of the positive ones, less the lead of the bias. Words join the set, common ones
-        first, while that bound over all features made of the set's words stays below 0 for every family.
+        root of the sum of the squares of the positive ones. Training holds that, over all weak features, below the
+        lead that the bias gives the unknown class. A longer feature that is not weak holds a pair that is not.
         """
-        lead = np.maximum(self.weights[:, :-1] - self.weights[:, -1:], 0).astype(np.float64) ** 2
-        most = np.maximum(self.bias[-1] - self.bias[:-1] - 0.01, 0) ** 2  # weights are rounded in Spark
-        order = {w: i for i, w in enumerate(COMMON)}
-        every = sorted({w for g in self.features for w in g.split(" ")}, key=lambda w: (order.get(w, len(order)), w))
-        weak: set[str] = set()
-        for w in every:
-            more = weak | {w}
-            if (lead[[i for g, i in self.features.items() if more.issuperset(g.split(" "))]].sum(0) < most).all():
-                weak = more
-        return sorted(set(every) - weak)
+        return sorted(g for g in self.features if g.count(" ") == 1 and not weak(g))
 
 
-def train(templates: dict[str, list[str]] = TEMPLATES, others: list[str] = OTHERS, seed: int = 1) -> Model:
-    """Multinomial logistic regression on binary n-grams of templates and of cut and noisy versions of them.
-
-    The training set is the templates (a bound of its own). A fifth of the versions is held back to set the
-    temperature and the least probability of a prediction; what stays below it is unknown.
-    """
-    families = [*sorted(templates), UNKNOWN]
-    rng = np.random.default_rng(seed)
+def noisy_rows(templates: dict[str, list[str]], others: list[str], families: list[str], rng: np.random.Generator) -> list[tuple[list[str], int, str]]:
+    """Templates, cut and noisy versions of them and paragraphs that are no notices: words, class and the text they come from."""
     noise = sorted({w for t in others for w in words(t)} | COMMON.keys())
-    rows: list[tuple[list[str], int]] = []
+    some = lambda lo, hi: list(map(str, rng.choice(noise, rng.integers(lo, hi))))
+    rows: list[tuple[list[str], int, str]] = []
     for y, name in enumerate(families):
         for text in templates.get(name, others):
             w = words(text)
-            rows.append((w, y))
+            rows.append((w, y, text))
             for _ in range(12 if y < len(families) - 1 else 6):
-                v = [*rng.choice(noise, rng.integers(0, 6)), *(x for x in w if rng.random() > 0.08), *rng.choice(noise, rng.integers(0, 6))]
-                rows.append((list(map(str, v)), y))
-    for _ in range(200):
-        rows.append((list(map(str, rng.choice(noise, rng.integers(1, 15)))), len(families) - 1))
+                rows.append(([*some(0, 6), *(x for x in w if rng.random() > 0.08), *some(0, 6)], y, text))
+    unknown = len(families) - 1
+    rows.extend((some(1, 15), unknown, "") for _ in range(200))
     known = sorted({g for name in templates for t in templates[name] for g in ngrams(words(t))})
     for g in known:  # one or two words of a notice among others don't make a notice
         if " " not in g:
             for more in (0, 1):
-                also = [x for x in rng.choice(known, more) if " " not in x]
-                rows.append((list(map(str, [*rng.choice(noise, rng.integers(0, 8)), g, *rng.choice(noise, rng.integers(0, 8)), *also])), len(families) - 1))
-        elif COMMON.keys() >= set(g.split(" ")):
-            rows.extend(([*map(str, rng.choice(noise, rng.integers(0, 8))), *g.split(" "), *map(str, rng.choice(noise, rng.integers(0, 8)))], len(families) - 1) for _ in range(8))
-    plain = [g for g in known if COMMON.keys() >= set(g.split(" "))]
+                rows.append(([*some(0, 8), g, *some(0, 8), *(str(x) for x in rng.choice(known, more) if " " not in x)], unknown, ""))
+        elif weak(g):
+            rows.extend(([*some(0, 8), *g.split(" "), *some(0, 8)], unknown, "") for _ in range(8))
+    plain = [g for g in known if weak(g) and " " in g]
     for _ in range(400 if plain else 0):  # nor do many common ones
-        v = [w for g in rng.choice(plain, rng.integers(2, 8)) for w in [*str(g).split(" "), str(rng.choice(noise))]]
-        rows.append((v, len(families) - 1))
-    features = {g: i for i, g in enumerate(known)}
+        rows.append(([w for g in rng.choice(plain, rng.integers(2, 8)) for w in [*str(g).split(" "), *some(1, 2)]], unknown, ""))
+    return rows
+
+
+def _matrix(rows: list[tuple[list[str], int, str]], features: dict[str, int]) -> np.ndarray:
     x = np.zeros((len(rows), len(features)), np.float32)
-    for i, (w, _) in enumerate(rows):
+    for i, (w, *_) in enumerate(rows):
         seen = sorted({features[g] for g in ngrams(w) if g in features})
         x[i, seen] = 1 / max(1, len(seen)) ** 0.5
-    y = np.array([v for _, v in rows])
-    held = rng.random(len(rows)) < 0.2
-    tx, onehot = x[~held], np.eye(len(families), dtype=np.float32)[y[~held]]
-    weights, bias = np.zeros((len(features), len(families)), np.float32), np.zeros(len(families), np.float32)
-    bias[-1] = 3.0  # a paragraph without any feature is unknown
-    for epoch in range(EPOCHS):
-        z = tx @ weights + bias
+    return x
+
+
+def _descended(x: np.ndarray, y: np.ndarray, k: int, faint: np.ndarray, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias by gradient descent with momentum; after every step the leads of ``faint`` features are drawn back within REACH."""
+    onehot = np.eye(k, dtype=np.float32)[y]
+    weights, bias = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)
+    bias[-1] = BIAS  # a paragraph without any feature is unknown
+
+    def draw_back() -> None:
+        lead = weights[faint, :-1] - weights[faint, -1:]
+        size = np.sqrt((np.maximum(lead, 0) ** 2).sum(0))
+        weights[faint, :-1] = weights[faint, -1:] + np.where(lead > 0, lead * np.minimum(1, REACH / np.maximum(size, 1e-9)), lead)
+
+    speed = np.zeros_like(weights)
+    for epoch in range(epochs):
+        z = x @ weights + bias
         p = np.exp(z - z.max(1, keepdims=True))
-        g = (p / p.sum(1, keepdims=True) - onehot) / len(tx)
-        weights -= 60 * (1 - epoch / EPOCHS) * (tx.T @ g + 1e-5 * weights)
+        g = (p / p.sum(1, keepdims=True) - onehot) / len(x)
+        speed = 0.9 * speed - 40 * (1 - epoch / epochs) * (x.T @ g + 1e-5 * weights)
+        weights += speed
+        draw_back()
     weights[np.abs(weights) < 0.01] = 0
-    from .sampling import temperature
+    draw_back()
+    return weights, bias
+
 
-    z = x[held] @ weights + bias
-    heat = temperature(z, y[held])
-    p = np.exp(z / heat - (z / heat).max(1, keepdims=True))
+def train(templates: dict[str, list[str]] = TEMPLATES, others: list[str] = OTHERS, seed: int = 1) -> Model:
+    """Multinomial logistic regression on the binary n-grams of all templates.
+
+    It learns from templates and from cut and noisy versions of them; the training set is the templates (a bound of
+    its own). FOLDS models each leave out whole kins of families, and of the rest a part of the versions and of the
+    other paragraphs. The temperature comes from these versions. The least probability is the smallest above which, of
+    the families named and confirmed, at most a share ERRORS are wrong, where all that is left out whole is unknown.
+    """
+    families = [*sorted(templates), UNKNOWN]
+    rng = np.random.default_rng(seed)
+    rows = noisy_rows(templates, others, families, rng)
+    features = {g: i for i, g in enumerate(sorted({g for name in templates for t in templates[name] for g in ngrams(words(t))}))}
+    faint = np.array([weak(g) for g in features], bool)
+    x, y, k = _matrix(rows, features), np.array([v for _, v, _ in rows]), len(families)
+    weights, bias = _descended(x, y, k, faint, EPOCHS)
+    kin = sorted({KIN.get(name, name) for name in templates})
+    kin_fold = np.array([kin.index(KIN.get(families[v], families[v])) % FOLDS if v < k - 1 else -1 for v in y])
+    other_fold = {t: i % FOLDS for i, t in enumerate(others)}
+    own_fold = np.array([other_fold[t] if t in other_fold else int(rng.integers(FOLDS)) for *_, t in rows])
+    logits, target, alike, whole = [], [], [], []
+    for f in range(FOLDS):
+        used, judged = (kin_fold != f) & (own_fold != f), (kin_fold == f) | (own_fold == f)
+        w, b = _descended(x[used], y[used], k, faint, EPOCHS // 2)
+        z = x[judged] @ w + b
+        logits.append(z)
+        whole.append(kin_fold[judged] == f)
+        target.append(np.where(whole[-1], k - 1, y[judged]))
+        best = z.argmax(1)
+        alike.append([likeness(rows[i][0], templates[families[v]]) if v < k - 1 else 0.0 for i, v in zip(np.flatnonzero(judged), best, strict=True)])
+    z, y, alike, whole = (np.concatenate(v) for v in (logits, target, alike, whole))
+    heat = temperature(z[~whole], y[~whole])
+    p = np.exp((z - z.max(1, keepdims=True)) / heat)
     p /= p.sum(1, keepdims=True)
-    wrong = p.max(1)[(p.argmax(1) != y[held]) & (p.argmax(1) < len(families) - 1)]
-    # At least the surest wrong answer among held-back versions, but no more than SUREST.
-    return Model(families, features, weights, bias, heat, float(min(SUREST, max(0.5, wrong.max() if len(wrong) else 0.5))))
+    best, sure = p.argmax(1), p.max(1)
+    named = np.flatnonzero((best < k - 1) & (alike >= CONFIRM))
+    named = named[np.argsort(-sure[named], kind="stable")]
+    good = np.flatnonzero(np.cumsum(best[named] != y[named]) <= ERRORS * np.arange(1, len(named) + 1))
+    least = float(sure[named[good[-1]]]) if len(good) else 1.0
+    passed = named[sure[named] >= least]
+    held_back = {"accuracy": float((best == y)[~whole].mean()), "precision": float((best[passed] == y[passed]).mean()) if len(passed) else 1.0, "known": float(np.isin(np.flatnonzero(~whole & (y < k - 1)), passed).mean()), "left out": float(np.isin(np.flatnonzero(whole), passed).mean())}
+    return Model(families, features, weights, bias, heat, least, held_back)
 
 
 def _rows(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
@@ -220,12 +270,12 @@ def _rows(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
 
 
 def prefix_tree(some: list[str]) -> str:
-    """A pattern for any of the words that looks at each letter once."""
+    """A pattern for any of the words, or rows of words with a space between, that looks at each letter once."""
     if some == [""]:
         return ""
     heads = sorted({w[0] for w in some if w})
-    tails = [c + prefix_tree([w[1:] for w in some if w[:1] == c]) for c in heads]
-    return f"(?:{'|'.join(tails)})" + "?" * ("" in some)
+    tails = [("[^a-z0-9]+" if c == " " else c) + prefix_tree([w[1:] for w in some if w[:1] == c]) for c in heads]
+    return tails[0] if len(tails) == 1 and "" not in some else f"(?:{'|'.join(tails)})" + "?" * ("" in some)
 
 
 def grams_of(w: Column) -> Column:
@@ -234,30 +284,25 @@ def grams_of(w: Column) -> Column:
     return F.array_distinct(F.concat(*[at(n) for n in range(1, NGRAM + 1)]))
 
 
-def _scored(found: DataFrame, model: Model) -> DataFrame:
+def _scored(found: DataFrame, model: Model, weights: DataFrame, templates: DataFrame) -> DataFrame:
     """Rows of ``found`` (r0, r1, pos, lines, paragraph) that have a known family, with it, its probability, the likeness of the
-    nearest template and whether both suffice. Only n-grams of features and templates are kept; no other counts."""
-    of_templates = [{"predicted": f, "grams": sorted(set(ngrams(words(t))))} for f in TEMPLATES for t in TEMPLATES[f]]
-    known = sorted({*model.features, *(g for t in of_templates for g in t["grams"])})
+    nearest template and whether both suffice. Only n-grams of features are kept; no other counts."""
+    known = ", ".join(f"'{g}'" for g in model.features)  # letters, digits and spaces
     w = F.regexp_extract_all(ascii_lower(F.col("paragraph")), F.lit("([a-z0-9]+)"), F.lit(1))
-    found = found.withColumn("w", w).select("r0", "r1", "pos", "lines", "paragraph", F.filter(grams_of(F.col("w")), lambda g: g.isin(known)).alias("grams"))
+    found = found.withColumn("w", w).select("r0", "r1", "pos", "lines", "paragraph", grams_of(F.col("w")).alias("all"))
+    found = found.selectExpr("r0", "r1", "pos", "lines", "paragraph", f"filter(all, g -> g IN ({known})) AS grams")
     found = stored(found, "paragraphs")  # unfiltered: a filter would be pushed below ``w``, which each n-gram would then take anew
-    weights = _rows(found, [{"g": g, "w": [round(float(v), 5) for v in model.weights[i]]} for g, i in model.features.items()], "g string, w array<double>")
-    scored = found.select("r0", "r1", "pos", "lines", F.explode("grams").alias("g")).join(F.broadcast(weights), "g")
-    k = len(model.families)
-    scored = scored.groupBy("r0", "r1", "pos", "lines").agg(F.count("*").alias("n"), *[F.sum(F.col("w")[j]).alias(f"z{j}") for j in range(k)])
-    z = [(F.lit(float(model.bias[j])) + F.col(f"z{j}") / F.sqrt("n")) / F.lit(model.heat) for j in range(k)]
-    top = F.greatest(*z)
-    total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
-    best = F.lit(model.families[-1])
-    for j in reversed(range(k)):
-        best = F.when(z[j] == top, F.lit(model.families[j])).otherwise(best)
-    scored = scored.select("r0", "r1", "pos", "lines", best.alias("predicted"), (1 / total).alias("probability")).filter(F.col("predicted") != UNKNOWN)
-    templates = _rows(found, of_templates, "predicted string, grams array<string>")
-    templates = templates.groupBy("predicted").agg(F.collect_list("grams").alias("templates"))
-    out = found.join(scored, ["r0", "r1", "pos", "lines"]).join(F.broadcast(templates), "predicted")
+    k = range(len(model.families))
+    key = ["r0", "r1", "pos", "lines"]
+    scored = found.select(*key, F.explode("grams").alias("g")).join(F.broadcast(weights), "g")
+    scored = scored.groupBy(*key).agg(F.count("*").alias("n"), *[F.expr(f"sum(w[{j}]) AS s{j}") for j in k])
+    z = ", ".join(f"({float(model.bias[j])!r}D + s{j} / sqrt(n)) / {float(model.heat)!r}D" for j in k)
+    scored = scored.selectExpr(*key, f"array({z}) AS z").selectExpr(*key, "z", "array_max(z) AS top")
+    names = ", ".join(f"'{f}'" for f in model.families)
+    scored = scored.selectExpr(*key, f"element_at(array({names}), int(array_position(z, top))) AS predicted", "1 / aggregate(z, 0D, (a, v) -> a + exp(v - top)) AS probability")
+    out = found.join(scored.filter(F.col("predicted") != UNKNOWN), key).join(F.broadcast(templates), "predicted")
     like = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)))
-    out = out.select("r0", "r1", "pos", "lines", "paragraph", "predicted", "probability", like.alias("likeness"))
+    out = out.select(*key, "paragraph", "predicted", "probability", like.alias("likeness"))
     return out.withColumn("sure", (F.col("probability") >= model.least) & (F.col("likeness") >= CONFIRM))
 
 
@@ -280,20 +325,23 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     Other columns are not read.
 
     Blocks are runs of two or more lines that are not blank; of these, runs of lines that are not known alone; and of
-    these, runs of lines that each hold an anchor. A block is left out where a line or a smaller block within it is of
-    its family. Texts, lines and blocks without an anchor are passed over: they are unknown (see ``Model.anchors``).
-    Weights and templates are bounded by the templates.
+    these, runs of lines that each hold a strong pair of words. A block is left out where a line or a smaller block within
+    it is of its family. Texts, lines and blocks without a strong pair are passed over: they are unknown (see
+    ``Model.strong``). Weights and templates are bounded by the templates.
     """
     model = model or train()
-    anchor = rf"(?<![a-z0-9]){prefix_tree(model.anchors())}(?![a-z0-9])"
-    holds = lambda x: ascii_lower(x).rlike(anchor)
+    pair = rf"(?i)(?<![a-z0-9]){prefix_tree(model.strong())}(?![a-z0-9])"
+    holds = lambda x: x.rlike(pair)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(holds(F.col("text")))
     texts = base.select("id", "text", *[k.alias(f"r{i}") for i, k in enumerate(row_key(F.col("id"), F.col("text")))]).dropDuplicates(["r0", "r1"])
     texts = stored(texts.select("id", "r0", "r1", F.split("text", "\n", -1).alias("all")), "licence-texts")
 
+    weights = stored(_rows(docs, [{"g": g, "w": [round(float(v), 5) for v in model.weights[i]]} for g, i in model.features.items()], "g string, w array<double>"), "licence-weights")
+    templates = [{"predicted": f, "templates": [sorted(set(ngrams(words(t)))) for t in TEMPLATES[f]]} for f in TEMPLATES]
+    templates = stored(_rows(docs, templates, "predicted string, templates array<array<string>>"), "licence-templates")
     single = F.transform("all", lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("lines"), x.alias("paragraph")))
     alone = texts.select("r0", "r1", F.inline(F.filter(single, lambda s: holds(s["paragraph"]))))
-    alone = stored(_scored(alone, model), "licence-lines")
+    alone = stored(_scored(alone, model, weights, templates), "licence-lines")
     known = alone.filter("sure").groupBy("r0", "r1").agg(F.collect_list(F.struct("pos", "lines", "predicted")).alias("known"), F.collect_list("pos").alias("at"))
 
     both = texts.join(known.select("r0", "r1", "at"), ["r0", "r1"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
@@ -303,7 +351,7 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     runs = F.array_distinct(F.concat(_runs(lines, lambda x, i: blank(x)), _runs(lines, taken), _runs(lines, lambda x, i: taken(x, i) | ~holds(x))))
     blocks = F.transform(runs, lambda r: F.struct(r["pos"].alias("pos"), r["lines"].alias("lines"), F.array_join(F.slice(lines, r["pos"] + 1, r["lines"]), " ").alias("paragraph")))
     blocks = both.select("r0", "r1", F.inline(F.filter(blocks, lambda b: holds(b["paragraph"]))))
-    blocks = stored(_scored(blocks, model), "licence-blocks").filter("sure")
+    blocks = stored(_scored(blocks, model, weights, templates), "licence-blocks").filter("sure")
     within = blocks.groupBy("r0", "r1").agg(F.collect_list(F.struct("pos", "lines", "predicted")).alias("found"))
     blocks = blocks.join(within, ["r0", "r1"]).join(known.select("r0", "r1", "known"), ["r0", "r1"], "left")
     end = F.col("pos") + F.col("lines")

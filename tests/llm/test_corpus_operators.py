@@ -298,8 +298,6 @@ def test_licences(spark):
     for i, t in rows:
         known, at, other = set(), [], 0
         for k, p in enumerate((t or "").split("\n")):
-            if not licences.ANCHORS & set(licences.words(p)):
-                continue
             q = m.probabilities(p)
             name = m.families[q.argmax()]
             if name == licences.UNKNOWN:
@@ -422,9 +420,10 @@ def test_licences_of_wrapped_and_cut_notices(spark):
 def test_licences_pass_over_only_what_is_unknown():
     m = licences.train()
     assert all(g in m.features for some in licences.TEMPLATES.values() for t in some for g in licences.grams(t))
-    weak = sorted({w for g in m.features for w in g.split(" ")} - set(m.anchors()))
+    assert m.held_back["accuracy"] > 0.95 and m.held_back["precision"] >= 0.98 and m.held_back["left out"] <= 0.02
     r = random.Random(3)
-    bits = [g for g in m.features if set(g.split(" ")) <= set(weak)]
-    for _ in range(2000):
-        p = " ".join(r.choice(bits) for _ in range(r.randint(1, 12)))
-        assert m.families[m.probabilities(p).argmax()] == licences.UNKNOWN
+    bits = [g for g in m.features if licences.weak(g)]
+    for _ in range(3000):
+        p = " ".join(r.choice([r.choice(bits), "0x", "zzz"]) for _ in range(r.randint(1, 40)))
+        if not set(m.strong()) & set(licences.grams(p)):
+            assert m.families[m.probabilities(p).argmax()] == licences.UNKNOWN
