@@ -21,7 +21,7 @@ HUB_ROUNDS = 2
 #: Nodes of postings of DENSE nodes or more are compared in blocks of about BLOCK, COLUMNS shingles at a time.
 DENSE, BLOCK, COLUMNS = 256, 256, 8192
 #: Members of a hub that one run of rows holds.
-RUN = 512
+RUN = 64
 
 
 def match_threshold(coords: int, percent: int, miss: float) -> int:
@@ -34,7 +34,7 @@ def match_threshold(coords: int, percent: int, miss: float) -> int:
     return coords
 
 
-def _signer(coords: int, size: int):
+def _signer(coords: int, size: int, keep: bool = False):
     mult = np.random.default_rng(7).integers(1, 2**63, coords, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +57,8 @@ def _signer(coords: int, size: int):
                     top = ((flat * mult[c]) >> np.uint64(32)).astype(np.uint32)
                     sigs[rows, c] = np.minimum.reduceat(top, starts).view(np.int32)
             sig = pa.FixedSizeListArray.from_arrays(pa.array(sigs.reshape(-1)), coords).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(halves[:, 0]), pa.array(halves[:, 1]), sig], ["id", "n", "c0", "c1", "sig"])
+            last = (batch.column(1), "text") if keep else (sig, "sig")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(halves[:, 0]), pa.array(halves[:, 1]), last[0]], ["id", "n", "c0", "c1", last[1]])
 
     return sign
 
@@ -139,10 +140,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of other than ``[\x20\x09-\x0D]`` with A-Z lower-cased; a document's set holds its distinct
     ``size``-word shingles (all words as one if fewer). Documents are linked if 100 * intersection >= percent *
     union. component_id is the smallest id reachable over links, kept is id = component_id. Documents without
-    words (null, empty or blank) are linked with nothing. Rows of one id count as one node; a null id is linked
-    with nothing, has a null component and is kept. Other columns are not read.
+    words (null, empty or blank) are linked with nothing. Rows of one id are linked with each other, whatever their
+    texts; a null id is linked with nothing, has a null component and is kept. Other columns are not read.
 
-    Equal sets become one node first, so copies never meet in pairs. Each node posts its MinHash coordinates; those
+    Equal sets become one node first, so copies never meet in pairs; a node bears the smallest id that holds its set, or
+    a hash of the set if that id has other sets besides. Each node posts its MinHash coordinates; those
     that another node shares, rarest first, form its prefix, long enough that two nodes with ``t`` coordinates
     in common meet in a prefix posting (t: a pair at the threshold falls short once in 1/miss). Nodes of a
     posting are not paired with each other: every round compares each with one hub, components are contracted, and
@@ -156,7 +158,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(base.mapInArrow(_signer(coords, size), "id long, n long, c0 long, c1 long, sig array<int>"), "signed")
     full = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    nodes = stored(full.groupBy("c0", "c1").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.min("sig").alias("sig")), "nodes")
+    nodes = full.groupBy("c0", "c1").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
+    several = signed.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("c0", "c1")).alias("lo"), F.max(F.struct("c0", "c1")).alias("hi")).filter("lo <> hi").select("id")
+    several = stored(several, "several")  # ids that hold more than one set, or one and no words
+    of_ids = several.limit(1).count() > 0
+    if of_ids:
+        other = F.xxhash64(F.lit("set"), "c0", "c1").bitwiseOR(F.lit(-(2**63)))  # below 0
+        nodes = nodes.join(small_or_as_is(several.select(F.col("id").alias("node"), F.lit(True).alias("own"))), "node", "left")
+        nodes = nodes.select("c0", "c1", F.when(F.col("own"), other).otherwise(F.col("node")).alias("node"), "copies", "sig", F.coalesce("own", F.lit(False)).alias("own"))
+    nodes = stored(nodes, "nodes")
 
     token = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     tokens = nodes.select("node", F.posexplode("sig").alias("pos", "v")).select("node", token.alias("tok"))
@@ -167,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = stored(held.select("node", F.explode("prefix").alias("tok")), "postings")
     n_postings = postings.count()
     texts, labels = None, None
-    spent = [shared, held, postings]
+    spent = [shared, held, postings, several]
 
     def labelled(df: DataFrame) -> DataFrame:
         if labels is None:
@@ -179,7 +189,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nonlocal texts
         if texts is None:
             ids = postings.select(F.col("node").alias("id")).distinct()
-            texts = stored(base.join(small_or_as_is(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
+            texts = base.join(small_or_as_is(ids), "id", "left_semi").dropDuplicates(["id"])
+            if of_ids:
+                sets = base.join(small_or_as_is(several), "id", "left_semi").mapInArrow(_signer(coords, size, True), "id long, n long, c0 long, c1 long, text string")
+                own = nodes.filter("own").select("c0", "c1", F.col("node").alias("id")).join(ids, "id", "left_semi")
+                texts = texts.unionByName(sets.dropDuplicates(["c0", "c1"]).select("c0", "c1", "text").join(own, ["c0", "c1"]).select("id", "text"))
+            texts = stored(texts, "texts")
             spent.append(texts)
         return texts.select(F.col("id").alias("node"), "text")
 
@@ -224,6 +239,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = stored(found, "components")
         spent.append(labels)
 
+    if of_ids:
+        held_by = full.join(small_or_as_is(several), "id").join(nodes.select("c0", "c1", "node"), ["c0", "c1"]).select("id", "node").distinct()
+        held_by = stored(held_by, "held-by")
+        least = held_by.groupBy("id").agg(F.min("node").alias("a"))
+        contract(held_by.join(least, "id").filter("a <> node").select("a", F.col("node").alias("b")))
     for r in range(HUB_ROUNDS + 1):
         post = labelled(postings)
         sizes = post.groupBy("tok", "label").count().groupBy("tok").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"), F.count("*").alias("labels")).filter("labels > 1")
@@ -233,9 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if r == HUB_ROUNDS or left <= n_postings:
             sizes = stored(sizes, "sizes")
             spent.append(sizes)
-            whole, links, apart = post.join(sizes.select("tok"), "tok").join(held, "node"), None, F.lit(True)
-            large = sizes.filter(F.col("m") >= DENSE)
-            if large.limit(1).count():
+            large, links, apart = sizes.filter(F.col("m") >= DENSE), None, F.lit(True)
+            whole = post.join(sizes.filter(F.col("m") < DENSE).select("tok"), "tok").join(held, "node")
+            if large.limit(1).count():  # all nodes that a large posting holds are in one group, and compared there
                 links, group = dense_links(post, large)
                 spent.append(group)
                 whole = whole.join(small_or_as_is(group), "node", "left")
@@ -249,6 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             contract(links_of(pairs) if links is None else links_of(pairs).union(links))
             break
         hubs = post.groupBy("tok").agg(F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), F.col("node").alias("a"), F.col("label").alias("la"))).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tok", "hub.a", "hub.la")
+        hubs = stored(hubs, "hubs")  # so that the join with a common token can be split
+        spent.append(hubs)
         met = post.join(hubs, "tok").filter("label <> la").groupBy("a", F.col("node").alias("b")).count()
         met = met.join(held.select(F.col("node").alias("b"), F.col("toks").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("toks").alias("ta")), "a")
         common = F.size(F.array_intersect("ta", "tb"))
@@ -257,12 +279,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spent.append(best)
         contract(links_of(best))
 
-    copies = nodes.filter("copies > 1").select("c0", "c1", "node")
+    copies = nodes.filter(F.col("own") | (F.col("copies") > 1) if of_ids else F.col("copies") > 1).select("c0", "c1", "node")
     out = signed.join(copies, ["c0", "c1"], "left")
     node = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("node", "id")).otherwise(F.col("id"))
     out = out.select("id", "n", node.alias("node"))
     if labels is not None:
         out = out.join(labels.filter("label <> node"), "node", "left").withColumn("node", F.coalesce("label", "node"))
+    if of_ids:  # components of such ids, for their rows without words too, and by the smallest id
+        at = held_by.join(labels, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("at"))
+        out = stored(out.join(small_or_as_is(at), "id", "left").select("id", "n", F.coalesce("at", "node").alias("node")), "components")
+        least = out.groupBy("node").agg(F.min("id").alias("least"))
+        spent += [out, held_by]
+        out = out.join(least, "node", "left").select("id", "n", F.coalesce("least", "node").alias("node"))
     out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("node").alias("component_id"), F.coalesce(F.col("id") == F.col("node"), F.lit(True)).alias("kept")), "groups")
     drop(signed, nodes, *spent)
     return out

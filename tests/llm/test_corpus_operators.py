@@ -144,6 +144,17 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    say = lambda c: " ".join(f"{c}{i}" for i in range(100))
+    rows = [(1, say("a")), (1, say("b")), (2, say("a") + " more"), (3, say("b") + " more")]
+    assert {r["component_id"] for r in neardup.near_duplicates(docs_of(spark, rows)).collect()} == {1}
+    r = random.Random(5)
+    rows = near_rows(11, 8, 4)
+    rows = [(i, t) for i, t in rows if i % 3] + [(r.randrange(32), t) for _, t in rows[:14]] + [(1, ""), (5, None), (7, say("c")), (9, say("c")), (9, ""), (None, say("c")), *ODD]
+    got = neardup.near_duplicates(docs_of(spark, rows))
+    assert by_id(got, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(rows)
+
+
 def test_near_duplicates_in_dense_groups(spark, monkeypatch):
     rows = near_rows(4, 2, 90)
     want = brute_groups(rows)
