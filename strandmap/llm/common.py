@@ -14,6 +14,8 @@ from ..runtime import ship
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of a join is broadcast only if so many rows are counted in it at most.
 BROADCAST_ROWS = 200_000
+#: And so many bytes of text, as JSON.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own if it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session within one JVM gets one of our own if it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="strandmap-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -62,9 +66,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def small_or_as_is(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it small, else without one."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_or_as_is(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows, and the bytes of its strings, prove it small, else without one."""
+    wide = [F.octet_length(F.to_json(F.struct(c))) for c, kind in df.dtypes if "string" in kind or "array" in kind]
+    sizes = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(sum(wide[1:], wide[0])), F.lit(0)) if wide else F.lit(0)).head()
+    return F.broadcast(df) if sizes[0] <= rows and sizes[1] <= most else df
 
 
 def ascii_lower(c: Column) -> Column:

@@ -66,11 +66,11 @@ def merge_by(df: DataFrame, keys: list[str], sketch: str, k: int = K, fan: int =
     ``df`` must hold ``keys`` and ``sketch``. Groups keep null keys; null sketches count as empty.
     """
     none = F.array().cast("array<long>")
-    cur = df.select(*keys, F.coalesce(F.col(sketch), none).alias("_s"))
+    cur = df.select(*keys, F.coalesce(F.col(sketch), none).alias("_s")).distinct()  # so that a hash of the sketch deals out a group
     most = cur.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
     while True:
         parts = -(-most // fan)
-        salt = F.pmod(F.xxhash64(F.col("_s"), F.monotonically_increasing_id()), F.lit(max(1, parts)))
+        salt = F.pmod(F.xxhash64("_s", F.lit(most)), F.lit(max(1, parts)))
         step = cur.withColumn("_p", salt).groupBy(*keys, "_p").agg(F.collect_list("_s").alias("_all"))
         cur = step.select(*keys, F.slice(F.sort_array(F.array_distinct(F.flatten("_all"))), 1, k).alias("_s"))
         if parts <= 1:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import small_batches
-from .sampling import labelled_sample, temperature
+from .sampling import fitted, labelled_sample, temperature
 
 UNKNOWN = "und"
 #: Subwords of 2 to 4 bytes; hashed to 2 ** BITS rows of DIM.
@@ -101,7 +101,7 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RAT
         rows = np.concatenate([r for r, _ in subwords(*joined([text]))])
         if len(rows):
             ids, n = np.unique(rows, return_counts=True)
-            bags.append((ids, (n / n.sum()).astype(np.float32), langs.index(y)))
+            bags.append((ids.astype(np.uint16), (n / n.sum()).astype(np.float32), langs.index(y)))
     emb = rng.normal(0, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     out += rng.normal(0, 0.3, out.shape)
@@ -130,9 +130,9 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RAT
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None, sample: int = SAMPLE) -> Model:
-    """A model from text and language of at most ``sample`` documents a language, of those not ``held_out``."""
+    """A model from text and language of at most ``sample`` distinct texts a language, of those not ``held_out``, trained in one task."""
     rows = docs if held_out is None else docs.filter(F.coalesce(~held_out, F.lit(False)))
-    return train(labelled_sample(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("y")), None, sample)[0])
+    return fitted(labelled_sample(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("y")), None, sample)[0], train)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import UPPER, ascii_lower, drop, row_key, stored
-from .sampling import labelled_sample, temperature
+from .sampling import in_order, labelled_sample, temperature
 
 DOMAINS = ("high", "low", "toxic")
 #: Target share of the tokens by domain.
@@ -21,20 +22,21 @@ ROUNDS, CLOSE, DEPTH = 40, 1e-6, 6
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Symbols that prose doesn't repeat.
 SYMBOLS = "#$%&*!|~^=<>@{}[]\\_+"
-N_SHAPES = 2
+N_SHAPES = 3
 
 
 def shape_features(text: Column, words: Column, distinct: Column) -> list[Column]:
-    """Share of symbols among characters, and of distinct words among words."""
+    """Shares of symbols and of capitals among characters, and of distinct words among words."""
     n = F.char_length(text)
-    return [(n - F.char_length(F.translate(text, SYMBOLS, ""))) / F.greatest(n, F.lit(1)), F.size(distinct) / F.greatest(F.size(words), F.lit(1))]
+    without = lambda some: (n - F.char_length(F.translate(text, some, ""))) / F.greatest(n, F.lit(1))
+    return [without(SYMBOLS), without(UPPER), F.size(distinct) / F.greatest(F.size(words), F.lit(1))]
 
 
 def python_features(text: str) -> tuple[list[str], list[float]]:
     """The same as the columns above, for training."""
     low = text.translate(str.maketrans(UPPER, UPPER.lower()))
     w = [x for x in re.split(BREAKS, low) if x]
-    return w, [sum(map(text.count, SYMBOLS)) / max(1, len(text)), len(set(w)) / max(1, len(w))]
+    return w, [sum(map(text.count, SYMBOLS)) / max(1, len(text)), sum(map(text.count, UPPER)) / max(1, len(text)), len(set(w)) / max(1, len(w))]
 
 
 @dataclass
@@ -63,19 +65,27 @@ def train(sample: list[tuple[str, str]], domains: tuple[str, ...] = DOMAINS, siz
         return Model(domains, {}, np.zeros((N_SHAPES, len(domains))), np.zeros(len(domains)), 1.0)
     rng = np.random.default_rng(seed)
     sample = [sample[i] for i in rng.permutation(len(sample))]
-    bags, shapes = zip(*(python_features(t) for t, _ in sample), strict=True)
+    number: dict[str, int] = {}
+    bags, shapes = [], []
+    for text, _ in sample:
+        w, s = python_features(text)
+        bags.append(np.array(sorted({number.setdefault(v, len(number)) for v in w}), np.int32))
+        shapes.append(s)
+    spelt = list(number)
     y = np.array([domains.index(d) for _, d in sample])
-    seen: dict[str, np.ndarray] = {}
-    for bag, k in zip(map(set, bags), y, strict=True):
-        for w in bag:
-            seen.setdefault(w, np.zeros(len(domains)))[k] += 1
+    seen = np.zeros((len(number), len(domains)))
+    for bag, k in zip(bags, y, strict=True):
+        seen[bag, k] += 1
     rate = np.bincount(y, minlength=len(domains)) / len(y)
-    tells = {w: float((((c - c.sum() * rate) ** 2) / np.maximum(c.sum() * rate, 1e-9)).sum()) for w, c in seen.items() if c.sum() >= 5}
-    chosen = sorted(tells, key=lambda w: (-tells[w], w))[:size]
-    col = {w: i for i, w in enumerate(chosen)}
+    total = seen.sum(1)
+    tells = ((seen - total[:, None] * rate) ** 2 / np.maximum(total[:, None] * rate, 1e-9)).sum(1)
+    chosen = sorted(np.flatnonzero(total >= 5).tolist(), key=lambda i: (-tells[i], spelt[i]))[:size]
+    col = {spelt[i]: j for j, i in enumerate(chosen)}
+    place = np.full(len(number), -1)
+    place[chosen] = np.arange(len(chosen))
     x = np.zeros((len(y), len(col) + N_SHAPES), np.float32)
     for i, bag in enumerate(bags):
-        x[i, sorted({col[w] for w in bag if w in col})] = 1
+        x[i, place[bag][place[bag] >= 0]] = 1
     x[:, len(col) :] = np.array(shapes) * 5
     held = np.arange(len(y)) % 5 == 0 if len(y) >= 20 else np.zeros(len(y), bool)
     tx, onehot = x[~held], np.eye(len(domains), dtype=np.float32)[y[~held]]
@@ -108,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The classifier, from at most ``sample`` labelled documents a domain."""
     marks = labels.select(F.col(id_col).alias("id"), domain_of(F.col("quality"), F.col("toxic")).alias("y")).filter(F.col("y").isNotNull())
     rows, counts = labelled_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), marks, sample)
-    return train(rows, counts=counts)
+    return train(in_order(rows.collect()), counts=counts)  # on the driver, as no Python runs on executors
 
 
 def literal_table(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
@@ -159,7 +169,8 @@ def with_rates(post: DataFrame, targets: np.ndarray, gram: np.ndarray, rounds: i
 
     Rates are scaled by their documents' tokens and the misfit by the inverse of ``gram`` over the rates above 0; a
     step adds one number a domain times p to each rate, then cuts it at 0. So a round is one sum of a few numbers over
-    the table, and rates are expressions until DEPTH steps are written out.
+    the table, and rates are expressions until DEPTH steps are written out. Rates of which the targets are out of reach are the least
+    squares ones; where the rounds end before that, a warning gives the misfit.
     """
     k = len(targets)
     post = post.withColumn("rate", F.lit(1.0))
@@ -177,32 +188,35 @@ def with_rates(post: DataFrame, targets: np.ndarray, gram: np.ndarray, rounds: i
         inverse = np.linalg.pinv(free if np.linalg.cond(free) < 1e8 else gram, rcond=1e-9)
         last, step = size, inverse @ miss
         rate, depth = F.greatest(F.lit(0.0), rate + sum((F.col(f"p{j}") * float(step[j]) for j in range(1, k)), F.col("p0") * float(step[0]))), depth + 1
-        if depth == DEPTH:
+        if depth == DEPTH:  # else expressions nest ever deeper
             post, rate, depth = stored(post.withColumn("rate", rate), "rates"), F.col("rate"), 0
             kept.append(post)
+    else:
+        warnings.warn(f"{rounds} rounds leave {np.linalg.norm(miss) / max(1.0, np.linalg.norm(targets)):.2e} of the targets", stacklevel=2)
     out = stored(post.withColumn("rate", rate), "rates")
     drop(*kept)
     return out
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, tilt: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, whole: str | None = None, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """Document rates under which the expected tokens of each domain match a target.
 
-    Targets are ``weights`` (shares of all tokens; WEIGHTS if neither is given), or by ``tilt`` what the domains would
-    expect if a document's rate were 1 and the mean of ``tilt`` over its posteriors. Returns one row per input row: ``id_col``, r0, r1 (key of the row), n_tokens, p (array of
-    posteriors in the order of DOMAINS) and rate (0 or more). Rows of one id and text share one rate. Null or empty
+    Targets are ``weights`` (WEIGHTS if none are given) as shares of all tokens. With ``whole`` that domain's target is
+    all it has, and the others' what their weights are beside it, but no more than they have. Returns one row per input
+    row: ``id_col``, r0, r1 (key of the row), n_tokens, p (array of posteriors in the order of DOMAINS) and rate (0 or more). Rows of one id and text share one rate. Null or empty
     texts have no tokens and get the rate of their posterior. A domain without any mass is left out of the fit; empty
     tables give no rows. Labels that are null or name no document teach nothing. Other columns are not read.
     """
     model = model or fit(docs, labels, id_col, text_col)
     k = len(model.domains)
     post = stored(posteriors(docs, model, id_col, text_col), "posteriors")
-    _, gram, every = totals(post, k)
-    if tilt is not None:
-        rate = F.greatest(F.lit(0.0), sum((F.col(f"p{j}") * tilt[d] for j, d in enumerate(model.domains)), F.lit(1.0)))
-        targets = totals(post.withColumn("copies", F.col("copies") * rate), k)[0]
+    have, gram, every = totals(post, k)
+    share = np.array([(weights or WEIGHTS)[d] for d in model.domains])
+    if whole is not None:
+        j = model.domains.index(whole)
+        targets = np.minimum(have, have[j] * share / share[j])
     else:
-        targets = np.array([(weights or WEIGHTS)[d] for d in model.domains]) * every
+        targets = share * every
     out = with_rates(post, targets, gram)
     drop(post)
     p = F.array(*[F.col(f"p{j}") for j in range(k)]).alias("p")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .common import small_batches
 from .langid import joined, sums
-from .sampling import labelled_sample, temperature
+from .sampling import fitted, labelled_sample, temperature
 
 BITS, DIM, ONES, REACH = 14, 64, 4, 2
 SAMPLE, EPOCHS, HIDDEN, RATE, CUT = 2000, 40, 32, 0.003, 0.3
@@ -122,8 +123,9 @@ def random_indexing(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return own + 2 * around / np.maximum(size, 1e-9)
 
 
-def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 1) -> Model:
-    """Two layers by Adam; every fifth text is held back for the temperature."""
+def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 1, counts: dict[int, int] | None = None) -> Model:
+    """Two layers by Adam; every fifth text is held back for the temperature. ``counts`` has the labelled rows of each kind
+    in the whole table, whose shares take the place of the sample's in the probabilities."""
     rng = np.random.default_rng(seed)
     if len({y for _, y in sample}) < 2:  # one kind or none: its share, or an even chance, for every text
         k, lean = 2 * DIM + 1, 0.0 if not sample else (1.0 if sample[0][1] else -1.0)
@@ -155,19 +157,22 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 1) ->
                 first[i] = 0.9 * first[i] + 0.1 * grad
                 second[i] = 0.999 * second[i] + 0.001 * grad * grad
                 params[i] -= RATE * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    # The sample is balanced by label: the prior of the labels is not put back, a score compares the two kinds.
     m.heat = temperature(m.logits(x[held]), y[held])
+    if counts:
+        for v in (0, 1):
+            m.b2[v] += m.heat * np.log(counts[v] / sum(counts.values()) / (y == v).mean())
     return m
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: Column | None = None, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents of each kind, of those not ``held_out``
-    (a condition over the labels' columns)."""
+    (a condition over the labels' columns), trained in one task."""
     marks = labels.filter(F.col(label_col).isin(0, 1))
     if held_out is not None:
         marks = marks.filter(F.coalesce(~held_out, F.lit(False)))
     marks = marks.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
-    return train(labelled_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), marks, sample)[0])
+    rows, counts = labelled_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), marks, sample)
+    return fitted(rows, partial(train, counts=counts))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
