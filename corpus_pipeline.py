@@ -9,8 +9,10 @@ from strandmap.llm import decontam, langid, mixing, neardup, token_shards
 from strandmap.llm.common import row_key, small_or_as_is, stored, table
 from strandmap.llm.queries import tokenizer_path
 
-#: The mixture's targets: the likelier a document is of the high domain, the higher its rate; at even odds or better it stays.
-TILT = {"high": 1.0, "low": -1.0, "toxic": -1.0}
+#: The mixture's target weights by domain: the high domain's tokens all stay, the others are thinned to their weights beside it.
+#: A document at KEEP or better odds of being of the high domain is never thinned.
+WEIGHTS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
+KEEP = 0.5
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -34,9 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; rows that repeat an id go but for one.
-
-    Rows without an id all stay.
+    """One document of each group of near copies, that with the smallest id. Of rows that repeat an id with the same text one
+    stays; those that repeat it with another text stay, and so do rows without an id.
     """
     found = neardup.near_duplicates(docs.select("doc_id", "text"))
     copies = small_or_as_is(found.filter(~F.col("kept")).select("doc_id"))
@@ -44,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = stored(left.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
     if again.limit(1).count():
         again = small_or_as_is(again)
-        one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         left = left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
     return left
 
@@ -56,10 +57,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned by their rates: one stays if a hash of it, even over 0 to 1, is below its rate; at 1 or more all do."""
-    rates = mixing.mix(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), tilt=TILT)
+    """Documents thinned by their rates: one stays if a hash of it, even over 0 to 1, is below its rate; at a rate of 1 or
+    more, or a posterior of KEEP or more for the high domain, all do."""
+    rates = mixing.mix(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), weights=WEIGHTS, whole="high")
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("rate"), "r0", "r1"), 11) / float(1 << 53)
-    return _without(docs, rates.filter(chance >= F.col("rate")))
+    return _without(docs, rates.filter((chance >= F.col("rate")) & (F.col("p")[mixing.DOMAINS.index("high")] < KEEP)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
