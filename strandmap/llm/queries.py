@@ -25,7 +25,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.read_shards(token_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
+    docs = table(spark, sf_dir, "documents")
+    return token_shards.read_shards(token_shards.write_shards(docs, tokenizer_path()), docs)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

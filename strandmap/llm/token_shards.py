@@ -12,14 +12,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import files, pieces
 from .common import new_path, partitions, small_batches, stored
 from .mphf import PerfectHash, fingerprint
 
-END, NULL_KEY, CACHED, VERSION = 0, -(2**63), 1_000_000, 1
+END, NULL_KEY, CACHED, VERSION = 0, -(2**63), 1_000_000, 2
+#: Bytes of text a shard is made for, at least as long as there is work for all partitions, and bytes of ids read at once.
+SHARD_BYTES, PART_BYTES, READ_BYTES = 256 << 20, 8 << 20, 4 << 20
+MANIFEST = "shard int, path string, first long, docs long, tokens long, base long"
 
 
 class Encoder:
@@ -27,7 +30,8 @@ class Encoder:
 
     Its byte-level BPE never merges across the pieces that its pre-tokenizer cuts, so each distinct piece is encoded
     once and kept (at most CACHED pieces, told apart by 128 bits of hash); texts are strung together from these. A
-    tokenizer with any other pre-tokenizer or a normalizer encodes whole texts.
+    text that holds an added token is encoded whole, and so are all texts by a tokenizer with any other pre-tokenizer
+    or a normalizer.
     """
 
     def __init__(self, path: str):
@@ -35,9 +39,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         pre = str(self.tok.pre_tokenizer)
         self.by_piece = self.tok.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.clear()
 
@@ -58,8 +62,22 @@ class Encoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END after it, and the number of ids of each."""
         if not self.by_piece:
-            got = [[*e.ids, END] for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(got), self.dtype), np.fromiter(map(len, got), np.int64, len(got))
+            return self.of_wholes(texts)
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if odd:
+            plain = sorted(set(range(len(texts))) - set(odd))
+            ids, n = self.of_pieces([texts[i] for i in plain])
+            runs = np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
+            for i in odd:
+                runs.insert(i, self.of_wholes([texts[i]])[0])
+            return np.concatenate(runs), np.fromiter(map(len, runs), np.int64, len(runs))
+        return self.of_pieces(texts)
+
+    def of_wholes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [[*e.ids, END] for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), self.dtype), np.fromiter(map(len, got), np.int64, len(got))
+
+    def of_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         offs = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
@@ -93,7 +111,8 @@ def encoder(path: str) -> Encoder:
 
 
 def pack_index(keys: np.ndarray, sizes: np.ndarray, width: int) -> bytes:
-    """Index of a shard whose documents lie in ascending order of ``keys``; rows of one key form one run."""
+    """Index of a shard whose documents lie in ascending order of ``keys``; rows of one key form one run. It holds the
+    perfect hash, a fingerprint, first row and run for each slot, and the offsets of rows; no keys."""
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     distinct = keys[first]
     ph = PerfectHash.build(distinct)
@@ -102,50 +121,53 @@ def pack_index(keys: np.ndarray, sizes: np.ndarray, width: int) -> bytes:
     prints[slot], rows[slot], runs[slot] = fingerprint(distinct), first, np.diff(first, append=len(keys))
     out = io.BytesIO()
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
-    for part in (np.array([VERSION, width], "<i8"), ph.sizes, ph.bits, prints, rows, runs, offsets, keys.astype("<i8")):
+    for part in (np.array([VERSION, width], "<i8"), ph.sizes, ph.bits, prints, rows, runs, offsets):
         np.save(out, part, allow_pickle=False)
     return out.getvalue()
 
 
 class Shard:
-    """A shard read back. find() is keyed access in constant time: hash, fingerprint, offset."""
+    """A shard read back. find() is keyed access in constant time: hash, fingerprint, row; ids are read by range."""
 
     def __init__(self, path: str):
         data = io.BytesIO(files.read_all(f"{path}.idx"))
-        (version, width), sizes, bits, self.prints, self.rows, self.runs, self.offsets, self.keys = (np.load(data, allow_pickle=False) for _ in range(8))
+        (version, width), sizes, bits, self.prints, self.rows, self.runs, self.offsets = (np.load(data, allow_pickle=False) for _ in range(7))
         if version != VERSION:
             raise ValueError(f"{path}: version {version}")
         self.hash, self.dtype, self.path = PerfectHash(sizes, bits), np.dtype(f"<u{width}"), path
-        self._ids = None
-
-    @property
-    def ids(self) -> np.ndarray:
-        if self._ids is None:
-            self._ids = np.frombuffer(files.read_all(f"{self.path}.ids"), self.dtype)
-            if len(self._ids) != self.offsets[-1]:
-                raise ValueError(f"{self.path}: {len(self._ids)} ids, the index has {self.offsets[-1]}")
-        return self._ids
+        self.file = files.Ranged(f"{path}.ids")
+        if self.file.size != self.offsets[-1] * width:
+            raise ValueError(f"{path}: {self.file.size} bytes, the index has {self.offsets[-1]} ids")
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First row and number of rows of each key; -1 and 0 where the stored fingerprint differs."""
         slot = self.hash(keys)
         ok = slot >= 0
         ok[ok] = self.prints[slot[ok]] == fingerprint(np.asarray(keys, np.int64)[ok])
-        return np.where(ok, self.rows[slot] if len(self.rows) else 0, -1).astype(np.int64), np.where(ok, self.runs[slot] if len(self.runs) else 0, 0).astype(np.int64)
+        row, run = np.full(len(slot), -1, np.int64), np.zeros(len(slot), np.int64)
+        row[ok], run[ok] = self.rows[slot[ok]], self.runs[slot[ok]]
+        return row, run
+
+    def tokens(self, row: int, rows: int = 1) -> np.ndarray:
+        """Ids of ``rows`` documents that lie one after the other."""
+        lo, hi = int(self.offsets[row]), int(self.offsets[row + rows])
+        return np.frombuffer(self.file.at(lo * self.dtype.itemsize, (hi - lo) * self.dtype.itemsize), self.dtype)
 
-    def tokens(self, row: int) -> np.ndarray:
-        return self.ids[self.offsets[row] : self.offsets[row + 1]]
+    def close(self) -> None:
+        self.file.close()
 
 
 def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, out: str | None = None) -> DataFrame:
     """Writes the ids of every text (null: empty), each with id 0 after it, in ascending ``id_col`` order.
 
     Returns the manifest, a row a shard: shard, path (two files: .ids raw little-endian ids, as wide as the
-    vocabulary needs, and .idx), docs, tokens and base (ids in all shards before it). Rows of one id all stay, next
-    to each other; a null id is kept as the least long. Other columns are not read. An empty table has no shards.
+    vocabulary needs, and .idx), first (its least key), docs, tokens and base (ids in all shards before it). Rows of one
+    id all stay, next to each other; a null id is kept as the least long. Other columns are not read. An empty table
+    has no shards.
 
-    Texts move once, to ranges of the key. A shard streams to its file, which gets its name when whole, so a task
-    that is run again writes the same file; only its keys and sizes are held in memory.
+    Texts move once, to ranges of the key: ``shards`` of them, or as many as SHARD_BYTES of text each ask for (where
+    these are few, up to one a shuffle partition of PART_BYTES at least). A shard streams to its file, which gets its
+    name when whole, so a task that is run again writes the same file; only its keys and sizes are held in memory.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -169,36 +191,77 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         keys, sizes = np.concatenate(keys), np.concatenate(sizes)
         with files.committed(f"{path}.idx") as f:
             f.write(pack_index(keys, sizes, enc.dtype.itemsize))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "docs": [len(keys)], "tokens": [int(sizes.sum())]})
-
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY).cast("long")).alias("id"), F.col(text_col).alias("text"))
-    ranged = base.repartitionByRange(shards or partitions(spark), "id").sortWithinPartitions("id", "text")
-    rows = sorted(stored(ranged.mapInArrow(write, "shard int, path string, docs long, tokens long"), "manifest").collect())
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "first": [int(keys[0])], "docs": [len(keys)], "tokens": [int(sizes.sum())]})
+
+    base = docs.select(key_of(id_col).alias("id"), F.col(text_col).alias("text"))
+    if shards is None:
+        size = base.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+        shards = max(1, -(-size // SHARD_BYTES), min(partitions(spark), -(-size // PART_BYTES)))
+    ranged = base.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    rows = sorted(stored(ranged.mapInArrow(write, "shard int, path string, first long, docs long, tokens long"), "manifest").collect())
     done, full = 0, []
     for r in rows:  # one row a shard
         full.append((*r, done))
         done += r["tokens"]
-    return spark.createDataFrame(full, "shard int, path string, docs long, tokens long, base long")
+    return spark.createDataFrame(full, MANIFEST)
+
 
+def key_of(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY).cast("long"))
 
-def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A row a document: ``id_col``, start, n_tokens and ids_crc32 (of its ids as little-endian 32-bit integers), shard.
 
-    Every document is fetched by its key through the shard's index; a key that is not found there is an error.
+def read_shards(manifest: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A row for each document that the shards hold under a key of ``docs``: ``id_col``, start, n_tokens, ids_crc32 (of its
+    ids as little-endian 32-bit integers) and shard. A key that its shard doesn't hold is an error.
+
+    Each distinct key goes to the shard whose range it lies in, which gives its offset by the perfect hash; ids are read
+    by ranges of about READ_BYTES, as many keys at once as lie one after the other. The manifest, a row a shard, is the
+    only thing that tasks hold besides one shard's index.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
+    some = sorted(manifest.select("first", "shard", "path", "base").collect())
+    schema = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, shard int"
+    if not some:
+        return spark.createDataFrame([], schema)
+    firsts, shards, paths, bases = (list(v) for v in zip(*some, strict=True))
+    names = [id_col, "start", "n_tokens", "ids_crc32", "shard"]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(np.array(firsts, np.int64), b.column(0).to_numpy(), "right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.maximum(at, 0), pa.int32())], ["key", "at"])
+
+    def fetch(s: Shard, at: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row, run = s.find(keys)
+        if (row < 0).any():
+            raise KeyError(f"{s.path}: no key {keys[row < 0][0]}")
+        width, i = s.dtype.itemsize, 0
+        while i < len(keys):
+            j = i + 1  # keys i to j - 1 lie one after the other
+            while j < len(keys) and row[j] == row[j - 1] + run[j - 1] and (s.offsets[row[j] + run[j]] - s.offsets[row[i]]) * width <= READ_BYTES:
+                j += 1
+            rows = int(row[j - 1] + run[j - 1] - row[i])
+            ends = s.offsets[row[i] : row[i] + rows + 1]
+            ids = s.tokens(int(row[i]), rows).astype("<u4")
+            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True)]
+            of = np.repeat(keys[i:j], run[i:j])
+            yield pa.RecordBatch.from_arrays([pa.array(of, mask=of == NULL_KEY), pa.array(bases[at] + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array([shards[at]] * rows, pa.int32())], names)
+            i = j
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, base, shard in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                s = Shard(path)
-                row, run = s.find(s.keys)
-                here = np.arange(len(s.keys))
-                if ((here < row) | (here >= row + run)).any():
-                    raise ValueError(f"{path}: the index misses keys")
-                crc = [zlib.crc32(s.tokens(i).astype("<u4").tobytes()) for i in range(len(here))]
-                ids = pa.array(s.keys, mask=s.keys == NULL_KEY)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(base + s.offsets[:-1], pa.int64()), pa.array(np.diff(s.offsets), pa.int64()), pa.array(crc, pa.int64()), pa.array([shard] * len(here), pa.int32())], [id_col, "start", "n_tokens", "ids_crc32", "shard"])
-
-    small_batches(manifest.sparkSession)
-    n = max(1, manifest.count())
-    return manifest.select("path", "base", "shard").repartition(n).mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, shard int")
+        now, s = None, None
+        for b in batches:
+            keys, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
+                if len(part):
+                    if at[part[0]] != now:
+                        if s:
+                            s.close()
+                        now, s = int(at[part[0]]), Shard(paths[at[part[0]]])
+                    yield from fetch(s, now, keys[part])
+        if s:
+            s.close()
+
+    keys = docs.select(key_of(id_col).alias("key")).distinct().mapInArrow(route, "key long, at int")
+    return keys.repartitionByRange(max(1, partitions(spark)), "key").sortWithinPartitions("key").mapInArrow(read, schema)
