@@ -9,7 +9,8 @@ from .common import ascii_lower, drop, row_key, small_or_as_is, stored
 
 #: A run of WINDOW words holds WINDOW - GRAM + 1 grams, one of which is always selected.
 WINDOW, GRAM = 10, 5
-POS_BITS = 24
+#: Low bits of a mark, which hold its position; a text has fewer than 2**31 words.
+POS_BITS = 32
 WORDS = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 
 
@@ -28,7 +29,7 @@ def with_selected(df: DataFrame, words: str, window: int, gram: int) -> DataFram
     """Adds ``marks``: the winnowed (gram hash, position) pairs, for texts of at least ``window`` words.
 
     The low bits of each hash give way to the position counted backwards, so that the least of a window is
-    its least hash, the rightmost on ties: what is selected depends on the window's words alone.
+    its least hash (of the bits left), the rightmost on ties: what is selected depends on the window's words alone.
     """
     low = (1 << POS_BITS) - 1
     span = window - gram + 1
@@ -43,28 +44,49 @@ def with_selected(df: DataFrame, words: str, window: int, gram: int) -> DataFram
     return df.withColumn("marks", F.transform("_m", pair)).drop("_g", "_v", "_m")
 
 
+def windows_at(words: Column, starts: Column, length: Column) -> Column:
+    """(start, length, w0, w1, own) of the windows at ``starts``: two hashes of the words and the words themselves."""
+
+    def one(i: Column) -> Column:
+        own = F.slice(words, i + 1, length)
+        return F.struct(i.alias("start"), length.alias("length"), *[k.alias(f"w{j}") for j, k in enumerate(row_key(own))], own.alias("own"))
+
+    return F.transform(starts, one)
+
+
+def upto(n: Column) -> Column:
+    """0 to n; empty if n is below 0."""
+    return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Words of documents that lie in a run of ``window`` words of an item (an item of fewer words counts whole).
 
-    Returns (totals, spans). totals has one row per distinct (id, text): ``id_col``, r0, r1 (its key), n_words,
-    n_hit, n_items, items (ids as strings, sorted) and contaminated. spans has a row for each occurrence:
-    r0, r1, start, length, item. Null or empty texts have no words; items without words match nothing; equal
-    items are all reported. Other columns are not read.
-
-    Both sides are winnowed: every shared run of ``window`` words has a selected gram at the same place in both,
-    so an equi-join of selected grams loses none; each hit is then extended to all windows around it and compared
-    word by word. Items shorter than a window are looked up by all runs of their length. Items are broadcast only
-    if a count proves them few; otherwise the join shuffles by hash, and adaptive execution splits a hot one.
+    Returns (totals, spans). totals has one row per input row: ``id_col``, r0, r1 (key of id and text), n_words,
+    n_hit, n_items, items (ids as strings, sorted) and contaminated. spans has a row for each occurrence of a window:
+    r0, r1, start, length, w0, w1 (hashes of its words). Null or empty texts have no words; items without words match
+    nothing; equal items are all reported. The words of an item without an id count in n_hit and contaminated; n_items
+    and items leave it out. Other columns are not read.
+
+    Both sides are winnowed: every shared run of ``window`` words has a selected gram at the same place in both, so
+    an equi-join with the items' selected grams loses none. A document's windows around such a gram then meet the
+    items' distinct windows by hash, and words; the items of a window come in last, so what many items share is
+    matched once. Items shorter than a window are looked up by all runs of their length. The items' tables are
+    broadcast only if counts prove them small; otherwise the joins shuffle by hash, and adaptive execution splits a
+    hot one.
     """
-    low_n = window
-    item = items.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("iw")).filter((F.size("iw") > 0) & F.col("item").isNotNull())
+    item = items.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("iw")).filter(F.size("iw") > 0)
     item = stored(item, "items")
-    lengths = sorted(r["n"] for r in item.select(F.size("iw").alias("n")).filter(F.col("n") < low_n).distinct().collect())
-    seeds = with_selected(item, "iw", window, gram).select("item", F.explode("marks").alias("m")).select("item", F.lit(0).alias("short"), "m.hash", F.col("m.pos").alias("ipos"))
+    lengths = sorted(r["n"] for r in item.select(F.size("iw").alias("n")).filter(F.col("n") < window).distinct().collect())
+    length = F.least(F.size("iw"), F.lit(window))
+    wins = item.select("item", F.explode(windows_at(F.col("iw"), upto(F.size("iw") - length), length)).alias("v")).select("item", "v.*")
+    wins = stored(wins.select("item", "length", "w0", "w1", "own").distinct(), "windows")
+    known = small_or_as_is(wins.select("length", "w0", "w1", "own").distinct())
+    seeds = with_selected(item, "iw", window, gram).select(F.explode("marks").alias("m")).select(F.lit(0).alias("short"), "m.hash")
     for n in lengths:
-        whole = item.filter(F.size("iw") == n).select("item", F.lit(n).alias("short"), F.get(grams(F.col("iw"), n), F.lit(0)).alias("hash"), F.lit(0).alias("ipos"))
+        whole = item.filter(F.size("iw") == n).select(F.lit(n).alias("short"), F.get(grams(F.col("iw"), n), F.lit(0)).alias("hash"))
         seeds = seeds.unionByName(whole)
-    seeds = stored(seeds, "seeds")
+    seeds = stored(seeds.distinct().withColumn("seed", F.lit(True)), "seeds")
 
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.select("id", "text", *[k.alias(f"r{i}") for i, k in enumerate(row_key(F.col("id"), F.col("text")))])
@@ -75,26 +97,26 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     parts = [total, F.transform("marks", lambda m: entry(0, m["hash"], m["pos"]))]
     parts += [F.transform(grams(F.col("w"), n), short_entry(n)) for n in lengths]
     marked = marked.select("id", "r0", "r1", F.explode(F.concat(*parts)).alias("e")).select("id", "r0", "r1", "e.*")
-    hits = marked.join(small_or_as_is(seeds), ["short", "hash"], "left").filter((F.col("short") < 0) | F.col("item").isNotNull())
-    hits = stored(hits.select("id", "r0", "r1", "short", "pos", "item", "ipos"), "hits")
-
-    near = hits.filter(F.col("short") >= 0).select("r0", "r1", "short", "pos", "item", "ipos").distinct()
-    texts = base.select("r0", "r1", "text").join(near.select("r0", "r1").distinct(), ["r0", "r1"], "left_semi").dropDuplicates(["r0", "r1"])
-    around = texts.withColumn("w", words_of(F.col("text"))).join(near, ["r0", "r1"])
-    reach = window - gram
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
-    around = around.select("r0", "r1", "short", "pos", "item", "ipos", first.alias("first"), F.slice("w", first + 1, F.lit(2 * window)).alias("ctx"))
-    around = around.join(small_or_as_is(item), "item")
-    n = F.when(F.col("short") > 0, F.col("short")).otherwise(F.lit(window))
-    offsets = F.sequence(F.lit(0), F.when(F.col("short") > 0, 0).otherwise(reach))
-    start = lambda o: F.col("pos") - o
-    same = lambda o: (start(o) >= 0) & (F.col("ipos") - o >= 0) & (F.col("ipos") - o + n <= F.size("iw")) & (F.slice("ctx", F.greatest(start(o) - F.col("first"), F.lit(0)) + 1, n) == F.slice("iw", F.greatest(F.col("ipos") - o, F.lit(0)) + 1, n))
-    spans = around.select("r0", "r1", "item", n.alias("length"), F.explode(F.transform(F.filter(offsets, same), start)).alias("start")).distinct()
-    spans = stored(spans, "spans")
-
-    places = spans.select("r0", "r1", "start", "length").distinct().select("r0", "r1", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("p")).distinct()
+    hits = marked.join(small_or_as_is(seeds), ["short", "hash"], "left").filter((F.col("short") < 0) | F.col("seed"))
+    hits = stored(hits.select("id", "r0", "r1", "short", "pos"), "hits")
+
+    # The windows of a text around its hits, each once; as many as the text has words at most.
+    near = hits.filter(F.col("short") >= 0).groupBy("r0", "r1").agg(F.collect_set(F.struct("short", "pos")).alias("at"))
+    near = stored(near, "near")
+    texts = base.select("r0", "r1", "text").join(near.select("r0", "r1"), ["r0", "r1"], "left_semi").dropDuplicates(["r0", "r1"])
+    texts = texts.join(near, ["r0", "r1"]).withColumn("w", words_of(F.col("text")))
+    last = F.size("w") - window
+    around = F.transform(F.filter("at", lambda a: a["short"] == 0), lambda a: F.sequence(F.greatest(a["pos"] - (window - gram), F.lit(0)), F.least(a["pos"], last)))
+    windows = [windows_at(F.col("w"), F.array_distinct(F.flatten(around)), F.lit(window))]
+    of_length = lambda n: F.transform(F.filter("at", lambda a: a["short"] == n), lambda a: a["pos"])
+    windows += [windows_at(F.col("w"), of_length(n), F.lit(n)) for n in lengths]
+    met = texts.select("r0", "r1", F.explode(F.concat(*windows)).alias("v")).select("r0", "r1", "v.*")
+    spans = stored(met.join(known, ["length", "w0", "w1", "own"]).select("r0", "r1", "start", "length", "w0", "w1"), "spans")
+
+    places = spans.select("r0", "r1", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("p")).distinct()
     n_hit = places.groupBy("r0", "r1").agg(F.count("*").alias("n_hit"))
-    which = spans.groupBy("r0", "r1").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    of = small_or_as_is(wins.select("item", "length", "w0", "w1").distinct())
+    which = spans.select("r0", "r1", "length", "w0", "w1").distinct().join(of, ["length", "w0", "w1"]).groupBy("r0", "r1").agg(F.sort_array(F.collect_set("item")).alias("items"))
     totals = hits.filter(F.col("short") < 0).select("id", "r0", "r1", F.col("pos").cast("long").alias("n_words"))
     totals = totals.join(n_hit.join(which, ["r0", "r1"]), ["r0", "r1"], "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))

@@ -70,7 +70,7 @@ def brute_hits(text, items):
         for i in range(len(w) - n + 1):
             if n and tuple(w[i : i + n]) in wins:
                 hit |= set(range(i, i + n))
-                found.add(str(k))
+                found |= {str(k)} - {"None"}
     return len(w), len(hit), sorted(found)
 
 
@@ -78,8 +78,10 @@ def test_contamination(spark):
     r = random.Random(2)
     words = ["ab", "Cd", "e1", "ñu", "zz", "q"]
     say = lambda n: r.choice([" ", ", ", "\n"]).join(r.choice(words) for _ in range(n))
-    items = [(k, say(r.choice([3, 5, 9, 10, 11, 25]))) for k in range(12)] + [(90, ""), (91, None), (92, "same item words here to be found twice over now then"), (93, "same item words here to be found twice over now then")]
-    rows = []
+    items = [(k, say(r.choice([3, 5, 9, 10, 11, 25]))) for k in range(12)] + [(90, ""), (91, None), (92, "same item words here to be found twice over now then"), (93, "same item words here to be found twice over now then"), (None, "an item that has no id but has more than ten words"), (None, "no id")]
+    items += [(100 + k, f"a very common passage of five words {k} {say(12)}") for k in range(6)]
+    rows = [(300 + k, f"{say(3)} a very common passage of five words {k} {say(k)}") for k in range(8)]
+    rows += [(400, "An item that has no id but has more than ten words."), (401, "no no id")]
     for i in range(60):
         extra = r.choice(items)[1] or ""
         rows.append((i, f"{say(r.randint(0, 30))} {extra.upper() if i % 2 else ''} {say(4)}"))
@@ -221,12 +223,11 @@ def test_pieces_are_the_librarys():
     from tokenizers import Tokenizer
 
     enc, lib = token_shards.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
-    lib.encode_special_tokens = True
     assert enc.by_piece
     r = random.Random(6)
     signs = list("aAszt'’ \n\t\r,.!?12٣é中😀  '\"ll re've'd'm  <|endoftext|>\x00\x1c ​ ß½ñ́\x85")
     for _ in range(60):
-        texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(r.randint(1, 30))] + ["", "it's we'll they'vex ''s 's\n's", "   ", "\n\n b", "<|endoftext|>"]
+        texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(r.randint(1, 30))] + ["", "it's we'll they'vex ''s 's\n's", "   ", "\n\n b", "<|endoftext|>", "x <|endoftext|> y", "<|endof", "text|>"]
         ids, n = enc(texts)
         ends = np.cumsum(n)
         assert [list(x) for x in np.split(ids, ends[:-1])] == [[*lib.encode(t, add_special_tokens=False).ids, 0] for t in texts]
@@ -241,9 +242,9 @@ def test_token_shards(spark, monkeypatch):
 
     monkeypatch.setattr(token_shards, "CACHED", 50)
     lib = Tokenizer.from_file(tokenizer_path())
-    rows = [(i * 7 % 101, f"text number {i} " * (i % 5)) for i in range(101)] + ODD
+    rows = [(i * 7 % 101, f"text number {i} " * (i % 5)) for i in range(101)] + [(300, "x <|endoftext|> y")] + ODD
     manifest = token_shards.write_shards(docs_of(spark, rows), tokenizer_path(), shards=4)
-    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_shards.read_shards(manifest).collect())
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_shards.read_shards(manifest, docs_of(spark, rows)).collect())
     at, want = 0, []
     for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -251,10 +252,15 @@ def test_token_shards(spark, monkeypatch):
         at += len(ids)
     assert got == want
     shard = token_shards.Shard(manifest.orderBy("shard").collect()[-1]["path"])
-    row, run = shard.find(shard.keys[:3])
-    assert list(row) == [0, 1, 2] and shard.find(np.array([10**9]))[1][0] == 0
-    assert list(shard.tokens(0))[-1] == 0
-    assert token_shards.read_shards(token_shards.write_shards(docs_of(spark, []), tokenizer_path())).count() == 0
+    row, run = shard.find(np.array([300, 10**9]))
+    assert (row[0], run[0], run[1]) == (len(shard.offsets) - 2, 1, 0)
+    assert list(shard.tokens(row[0])) == [*lib.encode("x <|endoftext|> y", add_special_tokens=False).ids, 0]
+    few = token_shards.read_shards(manifest, docs_of(spark, [(6, ""), (300, "")]))  # by key alone
+    assert by_id(few, "start", "doc_id", "n_tokens", "ids_crc32") == sorted((w for w in want if w[1] in (6, 300)), key=str)
+    with pytest.raises(Exception, match="no key 7000"):
+        token_shards.read_shards(manifest, docs_of(spark, [(7000, "")])).collect()
+    none = docs_of(spark, [])
+    assert token_shards.read_shards(token_shards.write_shards(none, tokenizer_path()), none).count() == 0
 
 
 # WARC
