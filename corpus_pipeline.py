@@ -66,7 +66,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id shards of what is left, read back through their indexes."""
-    return token_shards.read_shards(token_shards.write_shards(docs.select("doc_id", "text"), tokenizer_path()))
+    docs = docs.select("doc_id", "text")
+    return token_shards.read_shards(token_shards.write_shards(docs, tokenizer_path()), docs)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("tokens", tokens)]
