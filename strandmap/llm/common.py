@@ -59,9 +59,10 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Readies a session for Python workers. Arrow batches hold few rows, as a text may be very long."""
+def small_batches(spark: SparkSession, rows: int = 512, most: int = 4 << 20) -> None:
+    """Readies a session for Python workers. Arrow batches hold few rows, and few bytes where they hold more than one."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

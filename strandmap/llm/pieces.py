@@ -79,7 +79,7 @@ def hashes(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Table:
     """Open addressing over 64-bit hashes: numbers pieces in the order they are added."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 19):
         self.mask = (1 << bits) - 1
         self.key, self.check, self.number = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
         self.size = 0

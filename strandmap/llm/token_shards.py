@@ -19,7 +19,7 @@ from . import files, pieces
 from .common import new_path, partitions, small_batches, stored
 from .mphf import PerfectHash, fingerprint
 
-END, NULL_KEY, CACHED, VERSION = 0, -(2**63), 1_000_000, 2
+END, NULL_KEY, CACHED, VERSION = 0, -(2**63), 250_000, 2
 #: Bytes of text a shard is made for, at least as long as there is work for all partitions, and bytes of ids read at once.
 SHARD_BYTES, PART_BYTES, READ_BYTES = 256 << 20, 8 << 20, 4 << 20
 MANIFEST = "shard int, path string, first long, docs long, tokens long, base long"
