@@ -52,10 +52,13 @@ def analyse(pixels: DataFrame, theta: str, phi: str, value: str, area: float, lm
 
 
 def synthesise(pixels: DataFrame, theta: str, phi: str, alm: DataFrame, out: str) -> DataFrame:
-    """Adds the map of the coefficients at each pixel. The coefficients, (lmax + 1)^2 / 2 numbers, go to every task."""
+    """Adds the map of the coefficients at each pixel. The coefficients, (lmax + 1)^2 / 2 numbers, go to every task; an l
+    beyond MOST is an error."""
     ship(pixels.sparkSession)
-    rows = alm.filter(F.col("l") <= MOST).collect()
-    lmax = max((r["l"] for r in rows), default=0)
+    lmax = alm.agg(F.max("l")).head()[0] or 0
+    if lmax > MOST:
+        raise ValueError(f"l is {lmax}, at most {MOST} fits in a task")
+    rows = alm.collect()
     a = np.zeros((lmax + 1, lmax + 1), complex)
     for r in rows:
         a[r["l"], r["m"]] = complex(r["re"], r["im"])

@@ -15,40 +15,40 @@ def _merged(left: DataFrame, right: DataFrame, on: str, by: list[str]) -> DataFr
     return a.union(b)
 
 
-def _bracketed(left: DataFrame, right: DataFrame, on: str, by: list[str], span: Column | None) -> DataFrame:
-    """Left rows with the last right row at or before (``_b``) and the first after (``_a``).
+def _bracketed(left: DataFrame, right: DataFrame, on: str, by: list[str], span: Column | None, at_or_after: bool = False) -> DataFrame:
+    """Left rows with the last right row at or before (``_b``) and the first after (``_a``; or at, if ``at_or_after``).
 
-    One shuffle: the union of both sides is ordered once. Without a ``by`` key the work must be cut into spans of the
+    One shuffle: the union of both sides is ordered forwards and backwards, with running frames, so the work is linear. Without a ``by`` key the work must be cut into spans of the
     order: each span also gets the last right row before it and the first after it, so no task sees the whole table.
     """
     both = _merged(left, right, on, by)
     keys = [F.col(k) for k in by]
-    before = Window.partitionBy(*keys).orderBy(F.col("_at"), F.col("_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(F.col("_at"), F.col("_l").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    is_left = F.col("_l").isNotNull()
+    backwards = (F.col("_at").desc(), is_left if at_or_after else is_left.desc())
     if span is not None:
         both = both.withColumn("_span", span)
         edges = both.filter(F.col("_r").isNotNull()).groupBy(*by, "_span").agg(F.max_by("_r", "_at").alias("last"), F.max("_at").alias("last_at"), F.min_by("_r", "_at").alias("first"), F.min("_at").alias("first_at"))
         spans = both.select(*by, "_span").distinct()
-        w = Window.partitionBy(*keys).orderBy("_span") if by else Window.orderBy("_span")
+        w = Window.partitionBy(*keys)
         edges = spans.join(edges, [*by, "_span"], "left")
         has = F.col("last_at").isNotNull()
-        edges = edges.withColumn("_prev", F.last(F.when(has, F.struct("last_at", "last")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        edges = edges.withColumn("_next", F.first(F.when(has, F.struct("first_at", "first")), True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+        edges = edges.withColumn("_prev", F.last(F.when(has, F.struct("last_at", "last")), True).over(w.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)))
+        edges = edges.withColumn("_next", F.last(F.when(has, F.struct("first_at", "first")), True).over(w.orderBy(F.col("_span").desc()).rowsBetween(Window.unboundedPreceding, -1)))
         ghosts = edges.select(*by, "_span", F.explode(F.array(F.struct(F.col("_prev.last_at").alias("_at"), F.col("_prev.last").alias("_r")), F.struct(F.col("_next.first_at").alias("_at"), F.col("_next.first").alias("_r")))).alias("g"))
         ghosts = ghosts.filter(F.col("g._r").isNotNull()).select(*by, "g._at", F.lit(None).cast(both.schema["_l"].dataType).alias("_l"), "g._r", "_span")
         both = both.select(*by, "_at", "_l", "_r", "_span").union(ghosts)
-        order = (F.col("_at"), F.col("_l").isNotNull())
-        before = Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        after = Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_b", F.last("_r", ignorenulls=True).over(before)).withColumn("_a", F.first("_r", ignorenulls=True).over(after))
+        keys = [*keys, F.col("_span")]
+    before = Window.partitionBy(*keys).orderBy("_at", is_left).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_b", F.last("_r", ignorenulls=True).over(before)).withColumn("_a", F.last("_r", ignorenulls=True).over(after))
     return both.filter(F.col("_l").isNotNull())
 
 
 def asof(left: DataFrame, right: DataFrame, on: str, take: list[str], by: list[str] | None = None, direction: str = "backward", span: Column | None = None) -> DataFrame:
-    """Left rows with ``take`` of one right row: the last at or before (backward), the first after (forward), or the
+    """Left rows with ``take`` of one right row: the last at or before (backward), the first at or after (forward), or the
     nearest (of equally near ones the later). Nulls where there is none. ``span`` is an expression over ``_at`` that
     grows with it and cuts the order into parts."""
-    got = _bracketed(left, right, on, by or [], span)
+    got = _bracketed(left, right, on, by or [], span, direction == "forward")
     lat = F.col(f"_l.{on}")
     if direction == "backward":
         pick = F.col("_b")

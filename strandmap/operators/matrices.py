@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
+
+#: Samples whose products a task takes at once.
+SAMPLES = 512
+
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     b = b.select(F.col("i").alias("k"), "j", F.col("v").alias("_b"))
@@ -76,10 +85,40 @@ def up_add(fine: DataFrame, coarse: DataFrame, step: int) -> DataFrame:
 
 
 def channel_correlation(tod: DataFrame, time: list[str], channel: str, value: str) -> DataFrame:
-    """Correlation (population) of all pairs i < j of channels that share samples. Channels of a sample must be few."""
-    a = tod.select(*time, F.col(channel).alias("i"), F.col(value).alias("_a"))
-    b = tod.select(*time, F.col(channel).alias("j"), F.col(value).alias("_b"))
-    return a.join(b, time).filter("i < j").groupBy("i", "j").agg(F.corr("_a", "_b").alias("v"), F.count("*").alias("n"))
+    """Correlation (population) of all pairs i < j of channels, over the samples that hold both; a null value is not held.
+
+    A sample's channels (of distinct, whole numbers) come together in one row; each task adds up products of whole
+    blocks of samples, so what is shuffled after that is a matrix a task and not the squares of all samples. Values are
+    taken from their channel's mean, the only thing, a number a channel, that the driver sees. The correlation is null
+    where a channel is constant.
+    """
+    ship(tod.sparkSession)
+    tod = tod.select(*time, F.col(channel).cast("long").alias("i"), F.col(value).cast("double").alias("v")).filter("i IS NOT NULL AND v IS NOT NULL")
+    means = {r["i"]: r["m"] for r in tod.groupBy("i").agg(F.avg("v").alias("m")).collect()}
+    names = np.array(sorted(means), np.int64)
+    mean = np.array([means[k] for k in names.tolist()])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(names), len(names)))
+        for b in batches:
+            for part in (b.column(0).slice(lo, SAMPLES) for lo in range(0, b.num_rows, SAMPLES)):
+                flat, sizes = part.flatten(), part.value_lengths().to_numpy()
+                at = np.searchsorted(names, flat.field("i").to_numpy())
+                row = np.repeat(np.arange(len(part)), sizes)
+                x, held = np.zeros((len(part), len(names))), np.zeros((len(part), len(names)))
+                x[row, at], held[row, at] = flat.field("v").to_numpy() - mean[at], 1
+                square = x * x
+                for k, (left, right) in enumerate(((held, held), (x, held), (held, x), (square, held), (held, square), (x, x))):
+                    total[k] += left.T @ right
+        i, j = np.nonzero(np.triu(total[0], 1))
+        yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j]), *(pa.array(t[i, j]) for t in total)], ["i", "j", "n", "a", "b", "aa", "bb", "ab"])
+
+    rows = tod.groupBy(*time).agg(F.collect_list(F.struct("i", "v")).alias("c")).select("c")
+    sums = rows.mapInArrow(products, "i long, j long, n double, a double, b double, aa double, bb double, ab double")
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+    spread = lambda s, q: F.col(q) - F.col(s) * F.col(s) / F.col("n")
+    v = F.try_divide(F.col("ab") - F.col("a") * F.col("b") / F.col("n"), F.sqrt(spread("a", "aa") * spread("b", "bb")))
+    return sums.select("i", "j", v.alias("v"), F.col("n").cast("long").alias("n"))
 
 
 def block_statistics(corr: DataFrame, size: int, n_samples: int) -> DataFrame:

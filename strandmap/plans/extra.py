@@ -95,19 +95,10 @@ def _(spark, sf):
     return got.withColumn("chi2", F.round("chi2", 4))
 
 
-def scan_kinds(e):
-    e = e.withColumn("az", F.col("c").cast("long") % 7).withColumn("el", F.col("event_id") % 3)
-    return validation.scan_kind(e, ["user_id"], "az", "el", 2)
-
-
-@query("scan_kinds", f"WITH {EV}, k AS (SELECT user_id, max(CAST(c AS BIGINT) % 7) - min(CAST(c AS BIGINT) % 7) AS a, max(event_id % 3) - min(event_id % 3) AS e FROM ev WHERE event_id % 40 < 2 GROUP BY user_id) SELECT user_id, CASE WHEN a < 2 AND e < 2 THEN 'stationary' WHEN e < 2 THEN 'ces' WHEN a < 2 THEN 'cas' ELSE 'raster' END AS mode FROM k")
+@query("scan_kinds", f"WITH {EV}, k AS (SELECT user_id, max(CAST(c AS BIGINT) % 7) - min(CAST(c AS BIGINT) % 7) AS a, max(event_id % 3) - min(event_id % 3) AS e FROM ev GROUP BY user_id) SELECT user_id, CASE WHEN a < 2 AND e < 2 THEN 'stationary' WHEN e < 2 THEN 'ces' WHEN a < 2 THEN 'cas' ELSE 'raster' END AS mode FROM k")
 def _(spark, sf):
-    return scan_kinds(events(spark, sf).filter("event_id % 40 < 2"))
-
-
-@query("scan_kinds_all")
-def _(spark, sf):
-    return scan_kinds(events(spark, sf))
+    e = events(spark, sf).withColumn("az", F.col("c").cast("long") % 7).withColumn("el", F.col("event_id") % 3)
+    return validation.scan_kind(e, ["user_id"], "az", "el", 2)
 
 
 @query(

@@ -274,43 +274,25 @@ def correlation_extremes(tod):
     return got.select("i", *[F.round(k, 5).alias(k) for k in ("mean", "largest", "mean_size")])
 
 
-# Queries named ..._all correlate all channels; those without it answer SQL that stops at the first few.
-
-
-@query("channel_correlation", f"WITH {CH} SELECT a.freq AS i, b.freq AS j, round(corr(a.v, b.v), 6) AS v, count(*) AS n FROM chn a JOIN chn b USING (vec_id) WHERE a.freq < b.freq AND a.freq < 8 AND b.freq < 8 GROUP BY ALL")
-def _(spark, sf):
-    return correlations(channels(spark, sf).filter("freq < 8"))
-
-
-@query("channel_correlation_all")
+@query("channel_correlation", f"WITH {CH} SELECT a.freq AS i, b.freq AS j, round(corr(a.v, b.v), 6) AS v, count(*) AS n FROM chn a JOIN chn b USING (vec_id) WHERE a.freq < b.freq GROUP BY ALL")
 def _(spark, sf):
     return correlations(channels(spark, sf))
 
 
 @query(
     "correlation_blocks",
-    f"WITH {CH}, c AS (SELECT a.freq AS i, b.freq AS j, corr(a.v, b.v) AS v FROM chn a JOIN chn b USING (vec_id) WHERE a.freq < b.freq AND b.freq < 16 GROUP BY ALL) "
+    f"WITH {CH}, c AS (SELECT a.freq AS i, b.freq AS j, corr(a.v, b.v) AS v FROM chn a JOIN chn b USING (vec_id) WHERE a.freq < b.freq GROUP BY ALL) "
     "SELECT CAST(i // 4 AS BIGINT) AS bi, CAST(j // 4 AS BIGINT) AS bj, count(*) AS n, round((sum(v * v) * 500 - count(*)) / sqrt(2 * count(*)), 4) AS chi2, round(sum(v) * sqrt(500) / sqrt(count(*)), 4) AS mean FROM c GROUP BY ALL",
 )
-def _(spark, sf):
-    return correlation_blocks(channels(spark, sf).filter("freq < 16"))
-
-
-@query("correlation_blocks_all")
 def _(spark, sf):
     return correlation_blocks(channels(spark, sf))
 
 
 @query(
     "correlation_extremes",
-    f"WITH {CH}, c AS (SELECT a.freq AS i, corr(a.v, b.v) AS v FROM chn a JOIN chn b USING (vec_id) WHERE a.freq <> b.freq AND a.freq < 12 AND b.freq < 12 GROUP BY a.freq, b.freq) "
+    f"WITH {CH}, c AS (SELECT a.freq AS i, corr(a.v, b.v) AS v FROM chn a JOIN chn b USING (vec_id) WHERE a.freq <> b.freq GROUP BY a.freq, b.freq) "
     "SELECT i, round(avg(v), 5) AS mean, round(max(abs(v)), 5) AS largest, round(avg(abs(v)), 5) AS mean_size FROM c WHERE v <> 0 GROUP BY i",
 )
-def _(spark, sf):
-    return correlation_extremes(channels(spark, sf).filter("freq < 12"))
-
-
-@query("correlation_extremes_all")
 def _(spark, sf):
     return correlation_extremes(channels(spark, sf))
 

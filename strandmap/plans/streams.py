@@ -218,68 +218,34 @@ def _(spark, sf):
     return got.select("event_id", F.round("c", 4).alias("c"))
 
 
-RANGES = "q AS (SELECT o_orderkey AS range_id, epoch_us(o_orderdate) / 1000000 % 2592000 + 1704067200 AS a, epoch_us(o_orderdate) / 1000000 % 2592000 + 1704067200 + 600 * (1 + o_orderkey % 5) AS b FROM orders WHERE o_orderkey % 10 = 0)"
+RANGES = "q AS (SELECT o_orderkey AS range_id, epoch_us(o_orderdate) / 1000000 % 2592000 + 1704067200 AS a, epoch_us(o_orderdate) / 1000000 % 2592000 + 1704067200 + 600 * (1 + o_orderkey % 5) AS b FROM orders)"
 
 
-def all_ranges(spark, sf):
+def ranges(spark, sf):
     o = table(spark, sf, "orders")
     a = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000 % 2592000 + 1704067200
     return o.select(F.col("o_orderkey").alias("range_id"), a.alias("a"), (a + 600 * (1 + F.col("o_orderkey") % 5)).alias("b"))
 
 
-def ranges(spark, sf):
-    return all_ranges(spark, sf).filter("range_id % 10 = 0")
-
-
-def interval_join(spark, sf, q):
-    got = joins.within(events(spark, sf).select("t", "c"), q, "t", "a", "b", 3600.0)
-    return got.groupBy("range_id").agg(F.count("*").alias("n"), F.sum("c").alias("c"))
-
-
-def excise_ranges(spark, sf, q):
-    got = joins.within(events(spark, sf).select("t", "event_id"), q, "t", "a", "b", 3600.0, "neither")
-    return got.groupBy("range_id").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
-
-
-def overlapping_ranges(p, r):
-    p = p.select(F.col("range_id").alias("p"), F.col("a").alias("a_start"), F.col("b").alias("a_end"))
-    r = r.select(F.col("range_id").alias("r"), F.col("a").alias("b_start"), F.col("b").alias("b_end"))
-    return joins.overlapping(p, r, 3600.0).select("p", "r")
-
-
-# Queries named ..._all take in whole tables; those without it answer SQL that picks some rows by their ids.
-
-
 @query("interval_join", f"WITH {EV}, {RANGES} SELECT range_id, count(*) AS n, sum(c) AS c FROM ev JOIN q ON t >= a AND t < b GROUP BY range_id")
 def _(spark, sf):
-    return interval_join(spark, sf, ranges(spark, sf))
-
-
-@query("interval_join_all")
-def _(spark, sf):
-    return interval_join(spark, sf, all_ranges(spark, sf))
+    got = joins.within(events(spark, sf).select("t", "c"), ranges(spark, sf), "t", "a", "b", 3600.0)
+    return got.groupBy("range_id").agg(F.count("*").alias("n"), F.sum("c").alias("c"))
 
 
 @query("excise_ranges", f"WITH {EV}, {RANGES} SELECT range_id, min(event_id) AS first, max(event_id) AS last FROM ev JOIN q ON t > a AND t < b GROUP BY range_id")
 def _(spark, sf):
-    return excise_ranges(spark, sf, ranges(spark, sf))
-
-
-@query("excise_ranges_all")
-def _(spark, sf):
-    return excise_ranges(spark, sf, all_ranges(spark, sf))
+    got = joins.within(events(spark, sf).select("t", "event_id"), ranges(spark, sf), "t", "a", "b", 3600.0, "neither")
+    return got.groupBy("range_id").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
-@query("overlapping_ranges", f"WITH {RANGES} SELECT p.range_id AS p, r.range_id AS r FROM q p JOIN q r ON r.b > p.a AND r.a <= p.b WHERE p.range_id % 20 = 0 AND r.range_id % 20 <> 0")
+@query("overlapping_ranges", f"WITH {RANGES} SELECT p.range_id AS p, count(*) AS n, min(r.range_id) AS first, max(r.range_id) AS last FROM q p JOIN q r ON r.b > p.a AND r.a <= p.b WHERE p.range_id <> r.range_id GROUP BY p.range_id")
 def _(spark, sf):
     q = ranges(spark, sf)
-    return overlapping_ranges(q.filter("range_id % 20 = 0"), q.filter("range_id % 20 <> 0"))
-
-
-@query("overlapping_ranges_all")
-def _(spark, sf):
-    q = all_ranges(spark, sf)
-    return overlapping_ranges(q, q).filter("p <> r")
+    p = q.select(F.col("range_id").alias("p"), F.col("a").alias("a_start"), F.col("b").alias("a_end"))
+    r = q.select(F.col("range_id").alias("r"), F.col("a").alias("b_start"), F.col("b").alias("b_end"))
+    got = joins.overlapping(p, r, 3600.0).filter("p <> r")
+    return got.groupBy("p").agg(F.count("*").alias("n"), F.min("r").alias("first"), F.max("r").alias("last"))
 
 
 @query("lookup_last_match", "WITH l AS (SELECT s_nationkey AS k, max(s_suppkey) AS s FROM supplier GROUP BY 1) SELECT n_nationkey AS k, n_name, s FROM nation LEFT JOIN l ON l.k = n_nationkey")
@@ -288,10 +254,12 @@ def _(spark, sf):
     return joins.lookup_last(n, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("s")), "k", "s")
 
 
-GRID = "c AS (SELECT DISTINCT l_suppkey % 12 + 1 AS freq, l_linenumber AS sb, l_partkey % 5 + 1 AS det FROM lineitem), r AS (SELECT DISTINCT p_size % 13 AS freq, p_partkey % 8 AS sb, p_partkey % 6 AS det FROM part WHERE p_partkey % 97 = 0 UNION ALL SELECT 0, 0, 0)"
+GRID = "c AS (SELECT DISTINCT l_suppkey % 12 + 1 AS freq, l_linenumber AS sb, l_partkey % 5 + 1 AS det FROM lineitem), r AS (SELECT DISTINCT p_size % 13 AS freq, p_partkey % 8 AS sb, p_partkey % 6 AS det FROM part UNION ALL SELECT 0, 0, 0)"
 
 
-def wildcard_mask(spark, sf, p):
+@query("wildcard_mask", f"WITH {GRID} SELECT DISTINCT c.* FROM c JOIN r ON (r.freq = 0 OR r.freq = c.freq) AND (r.sb = 0 OR r.sb = c.sb) AND (r.det = 0 OR r.det = c.det) WHERE NOT (r.freq = 0 AND r.sb = 0 AND r.det = 0)")
+def _(spark, sf):
+    p = table(spark, sf, "part")
     li = table(spark, sf, "lineitem")
     c = li.select((F.col("l_suppkey") % 12 + 1).alias("freq"), F.col("l_linenumber").alias("sb"), (F.col("l_partkey") % 5 + 1).alias("det")).distinct()
     r = p.select((F.col("p_size") % 13).cast("long").alias("freq"), (F.col("p_partkey") % 8).cast("int").alias("sb"), (F.col("p_partkey") % 6).alias("det")).distinct()
@@ -299,16 +267,6 @@ def wildcard_mask(spark, sf, p):
     return joins.wildcard_masked(c, r, ["freq", "sb", "det"])
 
 
-@query("wildcard_mask", f"WITH {GRID} SELECT DISTINCT c.* FROM c JOIN r ON (r.freq = 0 OR r.freq = c.freq) AND (r.sb = 0 OR r.sb = c.sb) AND (r.det = 0 OR r.det = c.det) WHERE NOT (r.freq = 0 AND r.sb = 0 AND r.det = 0)")
-def _(spark, sf):
-    return wildcard_mask(spark, sf, table(spark, sf, "part").filter("p_partkey % 97 = 0"))
-
-
-@query("wildcard_mask_all")
-def _(spark, sf):
-    return wildcard_mask(spark, sf, table(spark, sf, "part"))
-
-
 DIST = "2 * asin(sqrt(least(1, pow(sin((s.lat - p.lat) / 2), 2) + cos(s.lat) * cos(p.lat) * pow(sin((s.lon - p.lon) / 2), 2))))"
 PATCH = "s AS (SELECT c_custkey AS k, radians(c_custkey * 37 % 360) AS lon, radians(c_custkey * 11 % 160 - 80) AS lat FROM customer), p AS (SELECT n_name AS patch, radians(n_nationkey * 53 % 360) AS lon, radians(n_nationkey * 29 % 140 - 70) AS lat, 0.35 + n_nationkey % 3 * 0.1 AS rad, n_regionkey AS prio FROM nation)"
 

@@ -1,11 +1,12 @@
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandmap.functions import angles, stats, text
-from strandmap.operators import binning, destripe, fits, joins, kernels, mapalgebra, splits, timeseries
+from strandmap.operators import binning, destripe, fits, joins, kernels, mapalgebra, matrices, splits, timeseries
 
 
 def one(spark, *cols):
@@ -62,6 +63,35 @@ def test_asof_across_spans(spark):
         assert near == {-1: "a", 0: "a", 5: "b", 25: "c", 99: "c"}
 
 
+def test_asof_ties_and_long_groups(spark):
+    left = spark.createDataFrame([(5.0, 1), (6.0, 2), (8.0, 3)], "t double, k int")
+    right = spark.createDataFrame([(5.0, 10), (7.0, 20)], "t double, c int")
+    pick = lambda way: {r["t"]: r["c"] for r in joins.asof(left, right, "t", ["c"], direction=way).collect()}
+    assert pick("backward") == {5.0: 10, 6.0: 10, 8.0: 20}
+    assert pick("forward") == {5.0: 10, 6.0: 20, 8.0: None}
+    assert pick("nearest") == {5.0: 10, 6.0: 20, 8.0: 20}
+    many = spark.range(60_000).select(F.lit(1).alias("k"), (F.col("id") + 100.0).alias("t"))
+    few = spark.range(10).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("t"), F.col("id").alias("c"))
+    for way in ("forward", "nearest"):  # one key, all right rows before all left rows
+        began = time.time()
+        assert joins.asof(many, few, "t", ["c"], ["k"], way).filter("c IS NULL" if way == "forward" else "c = 9").count() == 60_000
+        assert time.time() - began < 60
+
+
+def test_correlation_with_missing_samples(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 5)) + 1e6
+    x[:, 1] += x[:, 0]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = [(int(t), int(c) * 3, float(x[t, c])) for t, c in zip(*np.nonzero(~np.isnan(x)), strict=True)]
+    got = matrices.channel_correlation(spark.createDataFrame(rows, "t long, c int, v double").repartition(4), ["t"], "c", "v").toPandas()
+    assert len(got) == 10
+    for r in got.itertuples():
+        both = ~np.isnan(x[:, r.i // 3]) & ~np.isnan(x[:, r.j // 3])
+        assert r.n == both.sum() and abs(r.v - np.corrcoef(x[both, r.i // 3], x[both, r.j // 3])[0, 1]) < 1e-9
+    assert matrices.channel_correlation(spark.createDataFrame([], "t long, c int, v double"), ["t"], "c", "v").count() == 0
+
+
 def test_spikes_and_kinds(spark):
     x = np.zeros(100)
     x[50] = 20
