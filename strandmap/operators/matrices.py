@@ -93,6 +93,7 @@ def channel_correlation(tod: DataFrame, time: list[str], channel: str, value: st
     where a channel is constant.
     """
     ship(tod.sparkSession)
+    kind = tod.schema[channel].dataType
     tod = tod.select(*time, F.col(channel).cast("long").alias("i"), F.col(value).cast("double").alias("v")).filter("i IS NOT NULL AND v IS NOT NULL")
     means = {r["i"]: r["m"] for r in tod.groupBy("i").agg(F.avg("v").alias("m")).collect()}
     names = np.array(sorted(means), np.int64)
@@ -118,7 +119,7 @@ def channel_correlation(tod: DataFrame, time: list[str], channel: str, value: st
     sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
     spread = lambda s, q: F.col(q) - F.col(s) * F.col(s) / F.col("n")
     v = F.try_divide(F.col("ab") - F.col("a") * F.col("b") / F.col("n"), F.sqrt(spread("a", "aa") * spread("b", "bb")))
-    return sums.select("i", "j", v.alias("v"), F.col("n").cast("long").alias("n"))
+    return sums.select(F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), v.alias("v"), F.col("n").cast("long").alias("n"))
 
 
 def block_statistics(corr: DataFrame, size: int, n_samples: int) -> DataFrame:
