@@ -92,6 +92,33 @@ def gnomonic(lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Column
     return near(F.cos(lat) * F.sin(d)), near(math.cos(lat0) * F.sin(lat) - math.sin(lat0) * F.cos(lat) * F.cos(d))
 
 
+def gnomonic_inverse(x: Column, y: Column, lon0: float, lat0: float) -> tuple[Column, Column]:
+    """Longitude (0 to a turn) and latitude of tangent-plane coordinates about a centre."""
+    down = F.sqrt(1 + x * x + y * y)
+    lat = F.asin((math.sin(lat0) + y * math.cos(lat0)) / down)
+    return normalize(lon0 + F.atan2(x, math.cos(lat0) - y * math.sin(lat0))), lat
+
+
+def sky_to_pixel(lon: Column, lat: Column, centre: tuple[float, float], step: tuple[float, float], at: tuple[float, float]) -> tuple[Column, Column]:
+    """Fractional pixel of a direction on a tangent-plane image: its reference direction and pixel, and the size of a pixel."""
+    x, y = gnomonic(lon, lat, *centre)
+    return x / step[0] + at[0], y / step[1] + at[1]
+
+
+def pixel_to_sky(i: Column, j: Column, centre: tuple[float, float], step: tuple[float, float], at: tuple[float, float]) -> tuple[Column, Column]:
+    return gnomonic_inverse((i - at[0]) * step[0], (j - at[1]) * step[1], *centre)
+
+
+def detector_direction(lon: Column, lat: Column, dx: Column, dy: Column, turn: Column) -> tuple[Column, Column]:
+    """Direction of a detector that lies (dx, dy) off the boresight, across and up, on a focal plane turned by ``turn``
+    about it (from across towards up)."""
+    across, up = F.cos(turn) * dx - F.sin(turn) * dy, F.sin(turn) * dx + F.cos(turn) * dy
+    off = F.sqrt(across * across + up * up)
+    share = F.when(off > 0, F.sin(off) / off).otherwise(1.0)
+    u = [F.cos(off), share * across, share * up]  # about the x axis
+    return lon_lat(rotate(rotate(u, "y", -lat), "z", lon))
+
+
 def polarisation_turn(q: Column, u: Column, angle: Column) -> tuple[Column, Column]:
     c, s = F.cos(2 * angle), F.sin(2 * angle)
     return c * q - s * u, s * q + c * u

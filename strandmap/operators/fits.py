@@ -74,6 +74,13 @@ def median_slope(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return order_stats(s, keys, "_s", {"slope": median_rank()})
 
 
+def scatter_slopes(m1: DataFrame, m2: DataFrame, regions: DataFrame, pixel: list[str], value: str, region: str) -> DataFrame:
+    """By region of pixels: the median slope of map 2 against map 1, the correlation of both and the pixels they share."""
+    both = m1.select(*pixel, F.col(value).alias("_x")).join(m2.select(*pixel, F.col(value).alias("_y")), pixel).join(regions.select(*pixel, region), pixel)
+    sums = both.groupBy(region).agg(F.corr("_x", "_y").alias("corr"), F.count("*").alias("n"))
+    return sums.join(median_slope(both, [region], "_x", "_y").select(region, "slope"), region, "left")
+
+
 def noise_model(nu, fknee: float, alpha: float):
     """1 + (nu / fknee)^alpha."""
     return 1 + F.pow(nu / fknee, F.lit(alpha))

@@ -76,6 +76,25 @@ def interpolated(left: DataFrame, right: DataFrame, on: str, value: str, by: lis
     return got.select("_l.*", F.when(ok, y).otherwise(F.lit(outside)).alias(value))
 
 
+def object_positions(times: DataFrame, ephemeris: DataFrame, on: str, lon: str, lat: str, gap: float, by: list[str] | None = None, span: Column | None = None) -> DataFrame:
+    """Rows of ``times`` with an object's direction (lon, lat), from a table of its directions at some times.
+
+    Between two entries, at most ``gap`` from the row on either side, the unit vector moves along its chord; null
+    elsewhere. ``by`` names the object's column where there are several.
+    """
+    from ..functions.angles import lon_lat, unit_vector
+
+    e = ephemeris.select(*(by or []), on, F.struct(*[c.alias(f"u{i}") for i, c in enumerate(unit_vector(F.col(lon), F.col(lat)))]).alias("_u"))
+    got = _bracketed(times, e, on, by or [], span)
+    x, x0, x1 = (F.col(f"{s}.{on}") for s in ("_l", "_b", "_a"))
+    share = F.when(x == x0, 0.0).otherwise((x - x0) / (x1 - x0))
+    near = (x - x0 <= gap) & ((x == x0) | (x1 - x <= gap))
+    u = [F.when(x == x0, F.col(f"_b._u.u{i}")).otherwise(F.col(f"_b._u.u{i}") + (F.col(f"_a._u.u{i}") - F.col(f"_b._u.u{i}")) * share) for i in range(3)]
+    size = F.sqrt(u[0] * u[0] + u[1] * u[1] + u[2] * u[2])
+    at = lon_lat([c / size for c in u])
+    return got.select("_l.*", F.when(near, at[0]).alias(lon), F.when(near, at[1]).alias(lat))
+
+
 def within(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: float, closed: str = "left", by: list[str] | None = None) -> DataFrame:
     """Points joined with the ranges they lie in, as an equi-join on cells of ``width``.
 

@@ -105,6 +105,24 @@ def index_map(a: Column, b: Column, nu1: float, nu2: float, convert: bool = True
     return F.when(a * b > 0, F.ln(a / b / f) / math.log(nu1 / nu2))
 
 
+def strip_differences(m1: DataFrame, m2: DataFrame, pixel: list[str], value: str, lon: Column, lat: Column, alphas: list[float], half: float, step: float) -> DataFrame:
+    """Mean of m1 - alpha * m2 by alpha and bin of longitude (nearest multiple of ``step``), over pixels with |lat| < half.
+
+    ``lon`` and ``lat`` are expressions over the pixel's columns. Differences of 0 don't count.
+    """
+    both = m1.select(*pixel, F.col(value).alias("_a")).join(m2.select(*pixel, F.col(value).alias("_b")), pixel).filter(F.abs(lat) < half)
+    both = both.select(F.floor(lon / step + 0.5).alias("bin"), "_a", "_b").withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    d = F.col("_a") - F.col("alpha") * F.col("_b")
+    return both.filter(d != 0).groupBy("alpha", "bin").agg(F.avg(d).alias("mean"), F.count("*").alias("n"))
+
+
+def columns_shifted(m: DataFrame, columns: list[str], by: int) -> DataFrame:
+    """The values of ``columns`` moved ``by`` columns on, those at the end to the front."""
+    n = len(columns)
+    moved = {columns[(i + by) % n]: F.col(c) for i, c in enumerate(columns)}
+    return m.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in m.columns])
+
+
 def neighbours(pixels: DataFrame, x: str, y: str, reach: int, metric: str = "disc") -> DataFrame:
     """Each pixel with the cells within ``reach`` of it (nx, ny): cells are generated, not joined, so the cost is linear."""
     d = F.sequence(F.lit(-reach), F.lit(reach))

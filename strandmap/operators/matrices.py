@@ -28,6 +28,30 @@ def apply(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
 
 
+def solve(a: DataFrame, b: DataFrame, tol: float = 1e-10, steps: int = 1000) -> DataFrame:
+    """x of A x = b for a symmetric positive definite A (i, j, v) and b (i, x), by conjugate gradients.
+
+    A and the vectors stay distributed: a step is one product and two sums, of which the driver sees two numbers. A row
+    that A lacks has x 0. Vectors are checkpointed, so spark.checkpoint.dir must be set.
+    """
+    dot = lambda d, u, v: d.agg(F.sum(F.col(u) * F.col(v))).head()[0] or 0.0
+    state = b.select("i", F.lit(0.0).alias("x"), F.col("x").cast("double").alias("r"), F.col("x").cast("double").alias("p")).checkpoint()
+    size = first = dot(state, "r", "r")
+    for _ in range(steps):
+        if size <= tol * tol * first:
+            return state.select("i", "x")
+        q = apply(a, state.select("i", F.col("p").alias("x"))).withColumnRenamed("x", "q")
+        state = state.join(q, "i", "left").withColumn("q", F.coalesce("q", F.lit(0.0))).checkpoint()
+        bend = dot(state, "p", "q")
+        if bend <= 0:
+            raise ValueError("the matrix is not positive definite")
+        step = size / bend
+        state = state.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p")
+        before, size = size, dot(state, "r", "r")
+        state = state.withColumn("p", F.col("r") + (size / before) * F.col("p"))
+    raise ValueError(f"{steps} steps leave a residual of {(size / first) ** 0.5:.1e}")
+
+
 def total(parts: list[DataFrame]) -> DataFrame:
     """Sum over the union of entries."""
     return reduce(DataFrame.unionByName, parts).groupBy("i", "j").agg(F.sum("v").alias("v"))

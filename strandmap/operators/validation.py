@@ -95,6 +95,19 @@ def season_summary(stats: DataFrame, target: list[str], word: str, names: dict[i
     return got.groupBy(*target, "r.bit", "r.cut").agg(F.count_if("r.hit").alias("cut_rows"), F.count_if("r.left").alias("left_rows"))
 
 
+def report(scans: DataFrame, keys: list[str], status: str, detector: str, scan: str, seconds: str) -> DataFrame:
+    """Totals of a reduction by ``keys``: scans, detectors and detector-scans, those accepted (status 0), and hours of each."""
+    ok = F.col(status) == 0
+    return scans.groupBy(*keys).agg(
+        F.countDistinct(scan).alias("scans"),
+        F.countDistinct(detector).alias("detectors"),
+        F.count("*").alias("rows"),
+        F.count_if(ok).alias("accepted"),
+        (F.sum(seconds) / 3600).alias("hours"),
+        (F.coalesce(F.sum(F.when(ok, F.col(seconds))), F.lit(0.0)) / 3600).alias("accepted_hours"),
+    )
+
+
 def scan_kind(chunks: DataFrame, keys: list[str], az: str, el: str, still: float) -> DataFrame:
     """Mode of each chunk by what moves: stationary, constant elevation, constant azimuth or raster."""
     a, e = F.max(az) - F.min(az), F.max(el) - F.min(el)

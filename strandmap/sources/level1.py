@@ -36,6 +36,16 @@ def calibrated(tod: DataFrame, tsys: DataFrame, channel: list[str], value: str,
     return got.withColumn("reason", reason).withColumn(value, F.when(F.col("reason") == 0, F.col(value) * t)).drop("tsys")
 
 
+def converted(readings: DataFrame, boards: DataFrame, board: str, value: str) -> DataFrame:
+    """Housekeeping readings in physical units: a board's ``scale`` * reading + ``offset``, null where the reading is
+    beyond its ``low`` or ``high``; boards that the table lacks stay as they are."""
+    b = boards.select(board, "scale", "offset", "low", "high")
+    got = readings.join(b, board, "left")
+    inside = F.coalesce(F.col(value) >= F.col("low"), F.lit(True)) & F.coalesce(F.col(value) <= F.col("high"), F.lit(True))
+    v = F.when(F.col("scale").isNull(), F.col(value)).when(inside, F.col("scale") * F.col(value) + F.col("offset"))
+    return got.select(*[v.alias(c) if c == value else F.col(c) for c in readings.columns])
+
+
 def system_temperature(load: DataFrame, keys: list[str], hot: str, cold: str, t_hot: str, t_cold: float) -> DataFrame:
     """(t_hot - t_cold) / (p_hot / p_cold - 1) by channel from mean powers on an ambient load and on the sky."""
     y = F.avg(hot) / F.avg(cold)

@@ -78,6 +78,18 @@ def test_asof_ties_and_long_groups(spark):
         assert time.time() - began < 60
 
 
+def test_equations_are_solved(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(12, 12))
+    m, b = m @ m.T + 3 * np.eye(12), rng.normal(size=12)
+    a = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(12) for j in range(12)], "i long, j long, v double")
+    got = {r["i"]: r["x"] for r in matrices.solve(a, spark.createDataFrame(list(enumerate(b.tolist())), "i long, x double")).collect()}
+    assert np.allclose([got[i] for i in range(12)], np.linalg.solve(m, b), atol=1e-8)
+    with pytest.raises(ValueError):
+        matrices.solve(a.withColumn("v", -F.col("v")), spark.createDataFrame([(0, 1.0)], "i long, x double"))
+    assert matrices.solve(a.limit(0), spark.createDataFrame([], "i long, x double")).count() == 0
+
+
 def test_correlation_with_missing_samples(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 5)) + 1e6
