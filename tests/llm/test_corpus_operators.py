@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandmap.llm import decontam, files, fingerprints, langid, licences, line_dedup, mixing, mphf, neardup, pieces, quality, token_shards, warc
+from strandmap.llm import decontam, files, fingerprints, langid, licences, line_dedup, mixing, mphf, neardup, pieces, quality, sampling, token_shards, warc
 from strandmap.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, id string, r0 string, w int, node int, label string, hash int"
@@ -304,6 +304,25 @@ def test_warc_notices_a_broken_chain(spark):
         warc.read_warc(spark.createDataFrame([(r["path"], len(data) + 2, 2)], manifest.schema))
 
 
+def test_samples_are_bounded_before_they_are_collected(spark):
+    hot = spark.range(100_000).select(F.col("id"), F.lit("the same text").alias("text"), F.lit("en").alias("y"))
+    rest = spark.range(3000).select((F.col("id") + 10**6).alias("id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("y"))
+    few = spark.createDataFrame([(1, "un", "fr"), (2, "un", "fr"), (3, None, "fr"), (4, "x", None), (5, "z" * 2000, "fr")], "id long, text string, y string")
+    docs = hot.unionByName(rest).unionByName(few)
+    rows, counts = sampling.labelled_sample(docs, None, 500, longest=1000)
+    got = rows.collect()
+    assert counts == {"en": 103_000, "fr": 3}
+    assert sum(r["y"] == "en" for r in got) == 500 and sorted(r["text"] for r in got if r["y"] == "fr") == ["", "un"]
+    assert len({(r["text"], r["y"]) for r in got}) == len(got)
+    assert sampling.in_order(got) == sampling.in_order(sampling.labelled_sample(docs.repartition(7), None, 500, longest=1000)[0].collect())
+    assert sum(len(r["text"]) for r in sampling.labelled_sample(docs, None, 500, most_bytes=300)[0].collect() if r["y"] == "en") <= 300
+    marks = docs.select((F.col("id") % 50).alias("id"), "y")  # ids that repeat
+    rows, _ = sampling.labelled_sample(docs.select("id", "text"), marks, 20)
+    got = rows.collect()
+    assert 0 < len(got) <= 40 and sum(r["y"] == "en" for r in got) <= 20
+    assert sampling.fitted(rows, len) == len(got) and sampling.fitted(rows.limit(0), len) == 0
+
+
 # Licences
 
 
