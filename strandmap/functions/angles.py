@@ -119,6 +119,49 @@ def detector_direction(lon: Column, lat: Column, dx: Column, dy: Column, turn: C
     return lon_lat(rotate(rotate(u, "y", -lat), "z", lon))
 
 
+#: Terms of a mount model, in radians; fixed names.
+MOUNT = ("daz", "del", "ddk", "flex", "tilt_at", "tilt", "el_tilt", "col", "col_at")
+
+
+def mounted(az: Column, el: Column, deck: Column, **terms: float) -> tuple[Column, Column]:
+    """(azimuth, elevation) at which a mount really points for what its encoders read.
+
+    Azimuth turns in the positive sense about the zenith. The encoders' offsets daz and ddk are taken off and del, one of
+    the zenith distance, is added to the elevation; then come collimation by ``col`` towards ``col_at`` on the focal plane,
+    a sag of ``flex`` times the cosine of the elevation, a tilt of the azimuth axis by ``tilt`` towards ``tilt_at`` and one
+    of the elevation axis by ``el_tilt``. Terms left out are 0.
+    """
+    if unknown := set(terms) - set(MOUNT):
+        raise ValueError(f"no such term: {', '.join(sorted(unknown))}")
+    t = {k: F.lit(float(terms.get(k, 0.0))) for k in MOUNT}
+    lon, up, turn = az - t["daz"], el + t["del"], deck - t["ddk"]
+    u = [F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    u = euler_zyz(u, t["col_at"] + math.pi, t["col"], -t["col_at"] + math.pi)
+    u = euler_zyz(u, lon, math.pi / 2 - up, turn)
+    u = euler_zyz(u, lon, t["flex"] * F.cos(up), -lon)
+    u = euler_zyz(u, -t["tilt_at"], t["tilt"], t["tilt_at"])
+    return lon_lat(euler_zyz(u, lon - math.pi / 2, t["el_tilt"], math.pi / 2 - lon))
+
+
+def pickup(lon: Column, lat: Column, turn: Column, beam: list[tuple[float, float, float]], horizon: list[float]) -> Column:
+    """Share of a beam that falls below the horizon when it points at (lon, lat).
+
+    The beam is a list of cells (across, up, gain), the horizon its heights at even steps of longitude from 0; both are
+    constants of one expression, so a row is all that a task needs. The nearest step's height holds.
+    """
+    if not beam or not horizon or sum(g for _, _, g in beam) <= 0:
+        raise ValueError("a beam of some gain and a horizon are needed")
+    heights = F.array(*[F.lit(float(h)) for h in horizon])
+
+    def below(cell: Column) -> Column:
+        at, up = detector_direction(lon, lat, cell["x"], cell["y"], turn)
+        step = F.floor(at / (TAU / len(horizon)) + 0.5).cast("int") % len(horizon)
+        return F.when(up < F.element_at(heights, step + 1), cell["g"]).otherwise(0.0)
+
+    cells = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(g)).alias("g")) for x, y, g in beam])
+    return F.aggregate(F.transform(cells, below), F.lit(0.0), lambda s, v: s + v) / sum(g for _, _, g in beam)
+
+
 def polarisation_turn(q: Column, u: Column, angle: Column) -> tuple[Column, Column]:
     c, s = F.cos(2 * angle), F.sin(2 * angle)
     return c * q - s * u, s * q + c * u

@@ -81,6 +81,23 @@ def scatter_slopes(m1: DataFrame, m2: DataFrame, regions: DataFrame, pixel: list
     return sums.join(median_slope(both, [region], "_x", "_y").select(region, "slope"), region, "left")
 
 
+def gain_amplitudes(gains: DataFrame, template: DataFrame, keys: list[str], time: str, value: str, sigma: str, width: float) -> DataFrame:
+    """By group: the amplitude that best takes the template's mean in even bins of time to the measured gains, chi2 and n.
+
+    The bins, each about ``width`` long, divide the whole template's range of time; gains beyond it belong to its first
+    or last bin, those in a bin without template are left out. chi2 is quadratic in the amplitude, so three sums solve it.
+    """
+    ends = template.agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))  # one row
+    n = F.ceil((F.col("_hi") - F.col("_lo")) / width) + 1
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(time) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n)).otherwise(F.lit(0))
+    binned = lambda d: d.crossJoin(F.broadcast(ends)).withColumn("_b", F.greatest(F.lit(0), F.least(place, n - 1)))
+    means = binned(template).groupBy(*keys, "_b").agg(F.avg(value).alias("_m"))
+    w, m, y = 1 / (F.col(sigma) * F.col(sigma)), F.col("_m"), F.col(value)
+    sums = binned(gains).join(means, [*keys, "_b"]).groupBy(*keys).agg(F.sum(w * y * m).alias("_ym"), F.sum(w * m * m).alias("_mm"), F.sum(w * y * y).alias("_yy"), F.count("*").alias("n"))
+    amp = F.try_divide(F.col("_ym"), F.col("_mm"))
+    return sums.select(*keys, amp.alias("amplitude"), (F.col("_yy") - amp * F.col("_ym")).alias("chi2"), "n")
+
+
 def noise_model(nu, fknee: float, alpha: float):
     """1 + (nu / fknee)^alpha."""
     return 1 + F.pow(nu / fknee, F.lit(alpha))

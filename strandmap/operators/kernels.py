@@ -391,11 +391,19 @@ def per_channel(df: DataFrame, keys: list[str], order: str, value: str, f) -> Da
 
 
 def per_feed(df: DataFrame, keys: list[str], order: str, channel: str, value: str, f) -> DataFrame:
-    """f (samples x channels -> the same shape) over each feed's matrix of complete samples."""
+    """f (samples x channels -> the same shape) over each feed's matrix of samples.
+
+    A sample that lacks a channel keeps the others: f sees the channel's linear interpolation there (its nearest value
+    beyond the ends), and the result leaves that one entry out. A channel without any value is left out altogether.
+    """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        m = p.pivot(index=order, columns=channel, values=value).sort_index().dropna()
-        out = pd.DataFrame(f(m.to_numpy(float)), index=m.index, columns=m.columns).stack().rename(value).reset_index()
+        m = p.pivot(index=order, columns=channel, values=value).sort_index().dropna(axis=1, how="all").astype(float)
+        held = m.notna()
+        if not m.size:
+            return p.head(0)[[*keys, order, channel, value]]
+        m = m.interpolate(limit_direction="both")
+        out = pd.DataFrame(f(m.to_numpy(float)), index=m.index, columns=m.columns).where(held).stack().dropna().rename(value).reset_index()
         for k in keys:
             out[k] = p[k].iloc[0]
         return out[[*keys, order, channel, value]]

@@ -17,10 +17,59 @@ from ..runtime import ship
 SAMPLES = 512
 
 
-def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    b = b.select(F.col("i").alias("k"), "j", F.col("v").alias("_b"))
-    a = a.select("i", F.col("j").alias("k"), F.col("v").alias("_a"))
-    return a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
+#: Rows and columns of the blocks that are multiplied.
+BLOCK = 256
+
+
+def multiply(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Matrix product, block by block, so that a product of n x n entries shuffles n^3 / block rows at most.
+
+    Indices are whole numbers, an entry is one row, and a null entry counts as absent. The result has the entries for
+    which some k holds both factors, as doubles.
+    """
+    ship(a.sparkSession)
+
+    def blocks(m: DataFrame, row: str, col: str) -> DataFrame:
+        at = [F.col(c).cast("long") for c in "ij"]
+        cell = F.struct(*[F.pmod(c, F.lit(block)).cast("int").alias(n) for c, n in zip(at, "rc", strict=True)], F.col("v").cast("double").alias("v"))
+        return m.filter("v IS NOT NULL").groupBy(*[F.floor(c / block).alias(n) for c, n in zip(at, (row, col), strict=True)]).agg(F.collect_list(cell).alias(f"{row}{col}"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                sides = []
+                for side in ("IK", "KJ"):
+                    cells = batch.column(side).slice(n, 1).flatten()
+                    r, c = cells.field("r").to_numpy(), cells.field("c").to_numpy()
+                    m, held = np.zeros((block, block)), np.zeros((block, block), np.float32)
+                    m[r, c], held[r, c] = cells.field("v").to_numpy(), 1
+                    sides.append((m, held))
+                (x, hx), (y, hy) = sides
+                i, j = np.nonzero(hx @ hy)
+                at = [batch.column(s)[n].as_py() * block for s in "IJ"]
+                yield pa.RecordBatch.from_arrays([pa.array(i + at[0]), pa.array(j + at[1]), pa.array((x @ y)[i, j])], ["i", "j", "v"])
+
+    pairs = blocks(a, "I", "K").join(blocks(b, "K", "J"), "K").select("I", "J", "IK", "KJ")
+    got = pairs.mapInArrow(products, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return got.select(F.col("i").cast(a.schema["i"].dataType).alias("i"), F.col("j").cast(b.schema["j"].dataType).alias("j"), "v")
+
+
+def transposed(a: DataFrame) -> DataFrame:
+    return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+
+
+def smoothed_variance(variance: DataFrame, weights: DataFrame) -> DataFrame:
+    """Variances (i, x) of a map after smoothing by weights (i, j, v): the sum of v^2 x over j."""
+    return apply(weights.select("i", "j", (F.col("v") * F.col("v")).alias("v")), variance)
+
+
+def smoothed_covariance(noise: DataFrame, weights: DataFrame) -> DataFrame:
+    """Covariance W N W^T of a smoothed map, N a covariance (i, j, v) or the variances (i, x) of independent pixels."""
+    if "x" in noise.columns:
+        left = weights.join(noise.select(F.col("i").alias("j"), "x"), "j").select("i", "j", (F.col("v") * F.col("x")).alias("v"))
+    else:
+        left = multiply(weights, noise)
+    return multiply(left, transposed(weights))
 
 
 def apply(a: DataFrame, x: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.angles import unwrap_step
+from ..runtime import ship
 
 
 def channel(keys: list[str], order: list[str] | str) -> WindowSpec:
@@ -192,28 +196,40 @@ def spikes(df: DataFrame, keys: list[str], order: str, value: str, keep: float =
 
     A trigger sets s to 0 and the next ``rest`` samples are passed over. The kind compares the means from ``near`` to
     ``far`` samples on either side: edge if a side is missing, jump if they differ by more than the limit, spike if
-    the sample stands out from both, else anomaly. The fold needs its samples in order, so a channel is one group;
-    channels of long streams should carry a scan in their keys.
+    the sample stands out from both, else anomaly. Samples stream through in order (those of equal order by value), as
+    the windows leave them clustered and sorted by channel; a task holds a batch and three numbers, never a channel.
     """
+    ship(df.sparkSession)
     w = channel(keys, order)
     left, right = F.avg(value).over(w.rowsBetween(-far, -near)), F.avg(value).over(w.rowsBetween(near, far))
-    d = df.withColumn("_left", left).withColumn("_right", right).withColumn("_x", F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("x"), F.col("_left").alias("l"), F.col("_right").alias("r")))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("x"), F.lit(0).alias("wait"), F.array().cast("array<int>").alias("hits"), F.lit(0).alias("i"))
-
-    def step(a: Column, v: Column) -> Column:
-        s = F.when(a["x"].isNull() | (a["wait"] > 0), F.lit(0.0)).otherwise(keep * a["s"] + v["x"] - a["x"])
-        hit = F.abs(s) > limit
-        return F.struct(F.when(hit, F.lit(0.0)).otherwise(s).alias("s"), v["x"].alias("x"), F.when(hit, F.lit(rest)).otherwise(F.greatest(a["wait"] - 1, F.lit(0))).alias("wait"), F.when(hit, F.concat(a["hits"], F.array(a["i"]))).otherwise(a["hits"]).alias("hits"), (a["i"] + 1).alias("i"))
-
-    got = d.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("xs")).withColumn("f", F.aggregate("xs", start, step))
-    got = got.select(*keys, F.explode(F.transform("f.hits", lambda i: F.get(F.col("xs"), i))).alias("h"))
+    d = df.select(*keys, order, F.col(value).cast("double").alias(value)).withColumns({"_l": left, "_r": right}).sortWithinPartitions(*keys, order, value)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, s, last, wait = None, 0.0, None, 0
+        for b in batches:
+            found = []
+            of = zip(*(b.column(k).to_pylist() for k in keys), strict=True) if keys else [()] * b.num_rows
+            for i, (key, x) in enumerate(zip(of, b.column(value).to_pylist(), strict=True)):
+                if key != at:
+                    at, s, last, wait = key, 0.0, None, 0
+                if last is None or wait > 0:
+                    s = 0.0
+                else:
+                    s = None if x is None or s is None else keep * s + x - last
+                last, wait = x, max(wait - 1, 0)
+                if s is not None and (abs(s) > limit or s != s):  # NaN is above any limit, as in SQL
+                    found.append(i)
+                    s, wait = 0.0, rest
+            yield b.take(pa.array(found, pa.int64()))
+
+    got = d.mapInArrow(fold, d.schema)
     kind = (
-        F.when(F.col("h.l").isNull() | F.col("h.r").isNull(), "edge")
-        .when(F.abs(F.col("h.r") - F.col("h.l")) > limit, "jump")
-        .when((F.abs(F.col("h.x") - F.col("h.l")) > limit) & (F.abs(F.col("h.x") - F.col("h.r")) > limit), "spike")
+        F.when(F.col("_l").isNull() | F.col("_r").isNull(), "edge")
+        .when(F.abs(F.col("_r") - F.col("_l")) > limit, "jump")
+        .when((F.abs(F.col(value) - F.col("_l")) > limit) & (F.abs(F.col(value) - F.col("_r")) > limit), "spike")
         .otherwise("anomaly")
     )
-    return got.select(*keys, F.col("h.at").alias(order), F.col("h.x").alias(value), kind.alias("kind"))
+    return got.select(*keys, order, value, kind.alias("kind"))
 
 
 def best_lag(a: DataFrame, b: DataFrame, keys: list[str], index: str, value: str, lags: int) -> DataFrame:

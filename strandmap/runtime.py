@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -25,3 +26,13 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("strandmap", os.path.relpath(full, PACKAGE)))
     sc.addPyFile(path)
     sc._strandmap_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; only a session within one JVM may have none named."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="strandmap-")
+    return f"{at.rstrip('/')}/strandmap/{name}-{uuid.uuid4().hex[:12]}"

@@ -47,6 +47,13 @@ def sparse(full: DataFrame, pixel: str, value: str) -> DataFrame:
     return full.select(pixel, from_sentinel(F.col(value)).alias(value)).filter(F.col(value).isNotNull())
 
 
+def simulated_cube(cube: DataFrame, sideband: str, freq: str, value: str, n_freq: int) -> DataFrame:
+    """A simulated cube in microkelvin (sidebands and channels from 1) as kelvin in the order of the receiver, whose
+    first and third sidebands run backwards."""
+    back = F.col(sideband) % 2 == 1
+    return cube.withColumn(freq, F.when(back, n_freq + 1 - F.col(freq)).otherwise(F.col(freq))).withColumn(value, F.col(value) / 1e6)
+
+
 def write_table(df: DataFrame, path: str, mask: str | None = None) -> None:
     """Text rows of (unmasked) pixels."""
     (df.filter(F.col(mask) > 0.5) if mask else df).write.mode("overwrite").csv(path, sep=" ", header=True)

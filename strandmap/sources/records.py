@@ -6,8 +6,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..runtime import ship
+from .images import listed, opened
 
 SPARK_KINDS = {"f8": "double", "f4": "float", "i8": "long", "i4": "int", "i2": "short", "i1": "byte"}
 CHUNK = 32 << 20
@@ -42,17 +41,18 @@ class RecordReader(DataSourceReader):
         self.dtype = np.dtype([(n, f"<{k}") for n, k in fields])
 
     def partitions(self) -> list[Piece]:
-        names = sorted(glob.glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else glob.glob(self.path))
         step, out = max(1, CHUNK // self.dtype.itemsize), []
-        for name in names:
-            rows = (os.path.getsize(name) - self.skip) // self.dtype.itemsize
+        for name, size in listed(self.path):
+            rows = (size - self.skip) // self.dtype.itemsize
             out += [Piece(name, at, min(step, rows - at)) for at in range(0, rows, step)]
         return out or [Piece("", 0, 0)]
 
     def read(self, part: Piece) -> Iterator[pa.RecordBatch]:
         if not part.rows:
             return
-        rows = np.fromfile(part.path, self.dtype, part.rows, offset=self.skip + part.start * self.dtype.itemsize)
+        with opened(part.path) as f:
+            f.seek(self.skip + part.start * self.dtype.itemsize)
+            rows = np.frombuffer(f.read(part.rows * self.dtype.itemsize), self.dtype)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[n])) for n, _ in self.fields], [n for n, _ in self.fields])
 
 
