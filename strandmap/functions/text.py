@@ -56,9 +56,9 @@ def bits_of(word: Column, n: int) -> Column:
 SCAN_MODES = {16: "circ", 32: "ces", 128: "stationary", 512: "raster", 8192: "tsys", 32768: "liss"}
 
 
-def scan_mode(feature: Column) -> Column:
-    """Name of the lowest mode bit that is set; null if none."""
+def scan_mode(feature: Column, modes: dict[int, str] = SCAN_MODES) -> Column:
+    """Name of the lowest bit of ``modes`` that is set; null if none."""
     out = F.lit(None).cast("string")
-    for code, name in sorted(SCAN_MODES.items(), reverse=True):
+    for code, name in sorted(modes.items(), reverse=True):
         out = F.when(feature.cast("long").bitwiseAND(F.lit(code)) != 0, name).otherwise(out)
     return out
