@@ -28,8 +28,9 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Values are multiplied as the floats they are, as in the SQL: as doubles some would fall on the other side of a half."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("feed"), F.posexplode("embedding").alias("freq", "e"))
-    return e.select("vec_id", "feed", "freq", F.round(F.col("e").cast("double") * 1000).alias("v"))
+    return e.select("vec_id", "feed", "freq", F.round((F.col("e") * F.lit(1000.0).cast("float")).cast("double")).alias("v"))
 
 
 def map_values(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
