@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import scratch
+
 
 def _merged(left: DataFrame, right: DataFrame, on: str, by: list[str]) -> DataFrame:
     """Both sides in one table: a left row is a struct ``_l``, a right row a struct ``_r``."""
@@ -109,6 +111,91 @@ def within(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str,
     return p.join(cells, [*by, "_cell"]).filter(inside).drop("_cell")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """The table, written out once, where it is read several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _ranked(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: float, closed: str) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct points with their rank ``_i`` in order from 0, distinct ranges with the ranks [``_lo``, ``_hi``) of the
+    points inside (where there are some), and the largest power of 2 that such a range holds.
+
+    Points and ends of ranges are ordered together within cells of ``width``, and one window over the cells adds up
+    their counts, so no task sees the whole order.
+    """
+    r = ranges.select(start, end).distinct()
+    ends = r.select(F.explode(F.array(start, end)).alias("_at"), F.lit(0).alias("_k"))
+    both = points.select(F.col(at).alias("_at"), F.lit(1).alias("_k")).union(ends).filter("_at IS NOT NULL").groupBy("_at").agg(F.max("_k").alias("_p"), F.min("_k").alias("_e"))
+    both = both.withColumn("_cell", F.floor(F.col("_at") / width))
+    order = Window.partitionBy("_cell").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    both = _kept(both.withColumn("_c", F.sum("_p").over(order)), "order")
+    cells = both.groupBy("_cell").agg(F.sum("_p").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = both.join(cells.select("_cell", before.alias("_off")), "_cell").select("_at", "_p", "_e", (F.col("_off") + F.col("_c")).alias("_upto"))
+    below, upto = F.col("_upto") - F.col("_p"), F.col("_upto")
+    lo, hi = {"left": (below, below), "both": (below, upto), "neither": (upto, below), "right": (upto, upto)}[closed]
+    marks = both.filter("_e = 0")
+    inside = r.join(marks.select(F.col("_at").alias(start), lo.alias("_lo")), start).join(marks.select(F.col("_at").alias(end), hi.alias("_hi")), end).filter("_lo < _hi")
+    inside = _kept(inside, "ranks")
+    most = inside.agg(F.max(F.col("_hi") - F.col("_lo"))).head()[0]
+    return both.filter("_p = 1").select(F.col("_at").alias(at), below.alias("_i")), inside, (most or 1).bit_length() - 1
+
+
+def _blocks() -> Column:
+    """The least blocks of 2 ** level ranks that make up [_lo, _hi): two a level at most, as an array of (level, number)."""
+
+    def of(level: Column) -> Column:
+        a, b = -F.call_function("shiftright", -F.col("_lo"), level), F.call_function("shiftright", F.col("_hi"), level)
+        left, right = F.struct(level.alias("level"), a.alias("block")), F.struct(level.alias("level"), (b - 1).alias("block"))
+        return F.array(F.when((a < b) & (a % 2 == 1), left), F.when((a < b) & (b % 2 == 1), right))
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("_hi") - F.col("_lo"))).cast("int"))
+    return F.filter(F.flatten(F.transform(levels, of)), lambda x: x.isNotNull())
+
+
+def _above(levels: int) -> Column:
+    """The blocks up to a level that hold a rank ``_i``, as an array of (level, number)."""
+    return F.array(*[F.struct(F.lit(v).alias("level"), F.call_function("shiftright", F.col("_i"), F.lit(v)).alias("block")) for v in range(levels + 1)])
+
+
+#: How parts of a summary are put together: sums of counts and sums, least and greatest of bounds.
+_MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+
+
+def _summary(df: DataFrame, keys: list[str], parts: dict[str, tuple[str, str | None]]) -> DataFrame:
+    first = {"count": lambda c: F.count("*"), "sum": F.sum, "min": F.min, "max": F.max}
+    return df.groupBy(*keys).agg(*[first[how](c).alias(n) for n, (how, c) in parts.items()])
+
+
+def _merged_parts(df: DataFrame, keys: list[str], parts: dict[str, tuple[str, str | None]]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[_MERGE[how](n).alias(n) for n, (how, _) in parts.items()])
+
+
+def summed_within(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: float, parts: dict[str, tuple[str, str | None]], closed: str = "left") -> DataFrame:
+    """Distinct ranges (start, end) that hold points, with a summary of them: name -> ("count", None), ("sum", column), ("min", column) or ("max", column).
+
+    No pair of a point and a range is built: equal times are summed up first, then blocks of 1, 2, 4, ... times in
+    order, and a range meets the blocks that it is made of, at most two of each size. Work grows as n log n, however
+    many points a range holds. closed: "left", "right", "both" or "neither".
+    """
+    at_once = _summary(points.filter(F.col(at).isNotNull()), [at], parts)
+    at_once = _kept(at_once, "times")
+    rank, inside, levels = _ranked(at_once, ranges, at, start, end, width, closed)
+    blocks = _merged_parts(at_once.join(rank, at).withColumn("_b", F.explode(_above(levels))), ["_b"], parts)
+    return _merged_parts(inside.withColumn("_b", F.explode(_blocks())).join(blocks, "_b"), [start, end], parts)
+
+
+def summed_around(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: float, parts: dict[str, tuple[str, str | None]], closed: str = "left") -> DataFrame:
+    """Distinct points that lie in ranges, with a summary of these; as summed_within() the other way round."""
+    at_once = _kept(_summary(ranges, [start, end], parts), "ranges")
+    rank, inside, levels = _ranked(points, at_once, at, start, end, width, closed)
+    blocks = _merged_parts(at_once.join(inside, [start, end]).withColumn("_b", F.explode(_blocks())), ["_b"], parts)
+    around = rank.withColumn("_b", F.explode(_above(levels)))
+    return _merged_parts(around.join(blocks, "_b"), [at], parts)
+
+
 def overlapping(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
     """Pairs of ranges (a_start, a_end), (b_start, b_end) with b_end > a_start and b_start <= a_end, found by shared cells."""
     cell = lambda d, s, e: d.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
