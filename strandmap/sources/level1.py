@@ -28,6 +28,13 @@ def housekeeping_slice(hk: DataFrame, scans: DataFrame, time: str, start: str, e
     return within(hk, scans, time, start, end, width, "both")
 
 
+def housekeeping_summary(hk: DataFrame, scans: DataFrame, time: str, start: str, end: str, width: float, parts: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """A summary of the housekeeping rows within each distinct range of scans (see ``joins.summed_within``)."""
+    from ..operators.joins import summed_within
+
+    return summed_within(hk, scans, time, start, end, width, parts, "both")
+
+
 def calibrated(tod: DataFrame, tsys: DataFrame, channel: list[str], value: str, most: float) -> DataFrame:
     """Values times their channel's system temperature, with the reason (60 too high, 70 NaN) of those that lose it; these are null."""
     t = F.col("tsys")
