@@ -203,6 +203,42 @@ def overlapping(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
     return cell(a, "a_start", "a_end").join(cell(b, "b_start", "b_end"), "_cell").filter((F.col("b_end") > F.col("a_start")) & (F.col("b_start") <= F.col("a_end")) & first).drop("_cell")
 
 
+def overlap_summary(rows: DataFrame, key: str, start: str, end: str, width: float) -> DataFrame:
+    """For each key the number, least and greatest key of the ranges of other keys that its ranges overlap (as in overlapping()).
+
+    Ranges that start within (start, end] and those around the start are summed up by blocks, own ones included. Rows
+    of the same key are then taken off the count. Where the least (or greatest) key is its own, the next is sought among
+    pairs: such ranges of different keys don't overlap each other, so there are few pairs to a row. Ranges whose end is
+    before their start are paired by cells.
+    """
+    k, a, b = F.col(key), F.col(start), F.col(end)
+    q = _kept(rows.filter(k.isNotNull() & a.isNotNull() & b.isNotNull()).groupBy(key, start, end).agg(F.count("*").alias("_w")), "overlaps")
+    parts = {"_n": ("sum", "_w"), "_first": ("min", key), "_last": ("max", key)}
+    good, back = q.filter(b >= a), q.filter(b < a)
+    within_ = summed_within(good, good, start, start, end, width, parts, "right")
+    around = summed_around(good, good, start, start, end, width, parts)
+    sums = within_.unionByName(good.select(start, end).distinct().join(around, start).select(*within_.columns))
+    each = lambda d, s: d.select(a.alias(f"{s}_start"), b.alias(f"{s}_end"), *[F.col(c).alias(f"{s}{c}") for c in parts])
+    groups = [_summary(d, [start, end], parts) for d in (q, good, back)]
+    for left, right in ((groups[2], groups[0]), (groups[1], groups[2])):
+        pairs = overlapping(each(left, "a"), each(right, "b"), width)
+        sums = sums.unionByName(pairs.select(F.col("a_start").alias(start), F.col("a_end").alias(end), *[F.col(f"b{c}").alias(c) for c in parts]))
+    found = q.join(_merged_parts(sums, [start, end], parts), [start, end])
+    found = _kept(found.groupBy(key).agg(F.sum(F.col("_w") * F.col("_n")).alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last")), "found")
+
+    mine = q.select(k, a.alias("a_start"), b.alias("a_end"), F.col("_w").alias("_v")).join(q, key).filter((b > F.col("a_start")) & (a <= F.col("a_end")))
+    found = found.join(mine.groupBy(key).agg(F.sum(F.col("_v") * F.col("_w")).alias("_own")), key, "left").withColumn("_n", F.col("_n") - F.coalesce("_own", F.lit(0))).filter("_n > 0")
+
+    other = q.select(k.alias("_r"), a.alias("b_start"), b.alias("b_end"))
+
+    def beyond(mark: str, best) -> DataFrame:
+        ends = q.join(found.filter(F.col(mark) == k).select(key), key).select(k, a.alias("a_start"), b.alias("a_end"))
+        return overlapping(ends, other, width).filter(k != F.col("_r")).groupBy(key).agg(best("_r").alias(f"_next{mark}"))
+
+    found = found.join(beyond("_first", F.min), key, "left").join(beyond("_last", F.max), key, "left")
+    return found.select(key, F.col("_n").alias("n"), F.coalesce("_next_first", "_first").alias("first"), F.coalesce("_next_last", "_last").alias("last"))
+
+
 def lookup_last(left: DataFrame, table: DataFrame, key: str, order: str) -> DataFrame:
     """Left rows with the row of ``table`` whose key matches; of several the last by ``order``."""
     names = [c for c in table.columns if c != key]
