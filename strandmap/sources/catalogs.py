@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import scan_mode, tokens
+from ..runtime import ship
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -47,25 +51,44 @@ def frequency_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("n > _first").select(_word(0, "int").alias("freq"), _word(1, "int").alias("sb"), _word(2, "int").alias("det"))
 
 
+def _count(words: list[str], i: int) -> int:
+    """The whole number at a place; 0 if there is none."""
+    try:
+        return int(words[i])
+    except (IndexError, ValueError):
+        return 0
+
+
+def _walked(batches):
+    """Batches of (object, words of the scan's head, words of the sub-scan) from whole run lists."""
+    kind = pa.struct([("object", pa.string()), ("scan", pa.list_(pa.string())), ("sub", pa.list_(pa.string()))])
+    for batch in batches:
+        for value in batch.column(0):
+            name, scan, scans, subs, out = None, [], 0, 0, []
+            heads = (words for line in re.split(r"\r?\n", value.as_py() or "") if (words := [w for w in re.split(r"[ \t]", line) if w]))
+            next(heads, None)  # the number of objects
+            for words in heads:
+                if subs > 0:
+                    subs -= 1
+                    out.append({"object": name, "scan": scan, "sub": words})
+                    if len(out) == 10_000:
+                        yield pa.record_batch([pa.array(out, kind)], ["r"])
+                        out = []
+                elif scans > 0:
+                    scans, scan, subs = scans - 1, words, _count(words, 3)
+                else:
+                    name, scans = words[0], _count(words, 1)
+            yield pa.record_batch([pa.array(out, kind)], ["r"])
+
+
 def run_list(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
     """A row a sub-scan of ``number of objects; name scans; id mjd1 mjd2 subscans ... file; id mjd1 mjd2 feature az el dk ...``.
 
-    How many lines belong to a header is written in it, so heads are told apart by walking through counts. The lists
-    are catalogs of one file each; the walk is a fold over a file's lines.
+    How many lines belong to a header is written in it, so heads are told apart by walking through counts, one pass
+    over a file's lines. The lists are catalogs of one file each.
     """
-    doc = spark.read.text(path, wholetext=True).select(F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: tokens(x)).alias("lines"))
-    start = F.struct(F.lit(None).cast("string").alias("object"), F.lit(0).alias("scans"), F.array().cast("array<string>").alias("scan"), F.lit(0).alias("subs"), F.array().cast("array<struct<object:string,scan:array<string>,sub:array<string>>>").alias("out"))
-
-    def step(a: Column, t: Column) -> Column:
-        in_scan, in_object = a["subs"] > 0, a["scans"] > 0
-        sub = F.struct(a["object"].alias("object"), a["scan"].alias("scan"), t.alias("sub"))
-        return (
-            F.when(in_scan, F.struct(a["object"].alias("object"), a["scans"].alias("scans"), a["scan"].alias("scan"), (a["subs"] - 1).alias("subs"), F.concat(a["out"], F.array(sub)).alias("out")))
-            .when(in_object, F.struct(a["object"].alias("object"), (a["scans"] - 1).alias("scans"), t.alias("scan"), F.get(t, F.lit(3)).cast("int").alias("subs"), a["out"].alias("out")))
-            .otherwise(F.struct(F.get(t, F.lit(0)).alias("object"), F.get(t, F.lit(1)).cast("int").alias("scans"), a["scan"].alias("scan"), F.lit(0).alias("subs"), a["out"].alias("out")))
-        )
-
-    rows = doc.select(F.explode(F.aggregate(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), start, step, lambda a: a["out"])).alias("r"))
+    ship(spark)
+    rows = spark.read.text(path, wholetext=True).mapInArrow(_walked, "r struct<object:string,scan:array<string>,sub:array<string>>")
     s, u = (lambda i, k: F.get("r.scan", F.lit(i)).try_cast(k)), (lambda i, k: F.get("r.sub", F.lit(i)).try_cast(k))
     got = rows.select(
         F.col("r.object").alias("object"), s(0, "int").alias("scan_id"), s(1, "double").alias("scan_start"), s(2, "double").alias("scan_end"), F.element_at("r.scan", -1).alias("file"),
@@ -84,12 +107,15 @@ def science_subscans(runs: DataFrame) -> DataFrame:
 def write_run_list(runs: DataFrame, path: str) -> None:
     """The same text, one file an object, from which run_list() reads the rows back."""
     text = lambda *cols: F.concat_ws(" ", *[F.col(c).cast("string") for c in cols])
-    subs = runs.groupBy("object", "scan_id", "scan_start", "scan_end", "file").agg(F.sort_array(F.collect_list(F.struct("start", text("sub_id", "start", "end", "feature", "az", "el", "dk").alias("s")))).alias("subs"))
-    head = F.concat_ws(" ", text("scan_id", "scan_start", "scan_end"), F.size("subs").cast("string"), F.col("file"))
-    scans = subs.select("object", F.struct("scan_id", F.concat_ws("\n", head, F.transform("subs", lambda x: x["s"])).alias("s")).alias("scan"))
-    objects = scans.groupBy("object").agg(F.sort_array(F.collect_list("scan")).alias("scans"))
-    body = F.concat_ws("\n", F.lit("1"), F.concat_ws(" ", "object", F.size("scans").cast("string")), F.transform("scans", lambda x: x["s"]))
-    objects.select("object", body.alias("value")).write.partitionBy("object").text(path)
+    scan = ["object", "scan_id", "scan_start", "scan_end", "file"]
+    level, none = (lambda n: F.lit(n).alias("_level")), F.lit(None).cast("double").alias("start")
+    heads = runs.groupBy(*scan).agg(F.count("*").cast("string").alias("_n"))
+    lines = runs.select(*scan, level(2), F.col("start").cast("double").alias("start"), text("sub_id", "start", "end", "feature", "az", "el", "dk").alias("value"))
+    lines = lines.union(heads.select(*scan, level(1), none, F.concat_ws(" ", text("scan_id", "scan_start", "scan_end"), "_n", "file")))
+    top = heads.groupBy("object").agg(F.concat("object", F.lit(" "), F.count("*").cast("string")).alias("value"))
+    first = F.concat_ws("\n", F.lit("1"), "value")
+    order = ["object", F.col("_level") > 0, "scan_id", "scan_start", "scan_end", "file", "_level", "start", "value"]
+    lines.unionByName(top.select("object", level(0), first.alias("value")), True).repartition("object").sortWithinPartitions(*order).select("object", "value").write.partitionBy("object").text(path)
 
 
 def rejected_channels(spark: SparkSession, path: str) -> DataFrame:
